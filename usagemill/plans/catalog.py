@@ -1,0 +1,6 @@
+"""Registry of the engine's queries and their oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
