@@ -5,8 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, simhash
-from .common import table
+import corpus_pipeline
+
+from . import decontaminate, language, licenses, media, mixing, quality, secrets, simhash, suffixes, warc
+from .common import crc_of_id, table
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.read(media.store(table(spark, sf_dir, "documents"))))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1
+    profiles = language.prototypes(docs.where(~held).select("text", "lang"))
+    said = language.predict(docs, profiles)
+    return said.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
+    model = quality.fit(docs, labels.where(~held))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +60,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op5_entropy_mix, op7_simhash, op9_secrets, op10_decontaminate)
-    return {f.__name__: f for f in own}
+    own = (
+        op1_suffix_dedup, op2_progressive_jpeg, op3_warc_revisits, op4_language, op5_entropy_mix,
+        op6_quality, op7_simhash, op8_licenses, op9_secrets, op10_decontaminate,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
