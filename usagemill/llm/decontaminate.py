@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, staged
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words before A-Z are lowered: as many as after.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of benchmark words up to which they are broadcast.
 SMALL = 200_000
 
@@ -56,11 +54,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     fits = ranked.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("x"), F.count("*").alias("k"), F.first("len").alias("len")).where("k = len")
     prefix = staged(fits.select("win", "len", F.col("x.word").alias("word"), F.col("x.at").alias("at")), "prefixes")
     rows = docs.select("doc_id", F.xxhash64(text).alias("sig"), text.alias("text"))
-    placed = rows.select("doc_id", "sig", words(F.col("text")).alias("w")).select("doc_id", "sig", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
-    fit = placed.join(_small(prefix), "word").withColumn("from", F.col("pos") - F.col("at")).where("from >= 0 and from + len <= n_words")
-    guesses = staged(fit.select("doc_id", "sig", "win", "from", "len").distinct(), "guesses")
+    # Each document's words are led by an empty one, whose row carries the count of words past the join.
+    split = rows.select("doc_id", "sig", words(F.col("text")).alias("w"))
+    placed = split.select("doc_id", "sig", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    met = placed.join(_small(prefix), "word", "left").withColumn("from", F.col("pos") - 1 - F.col("at")).where("pos = 0 or from >= 0 and from + len <= n_words")
+    met = staged(met.select("doc_id", "sig", "n_words", "win", "from", "len"), "met")
+    guesses = met.where("win is not null").drop("n_words").distinct()
     hits = staged(_verified(rows, guesses, each), "hits")
-    counted = rows.select("doc_id", "sig", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = met.where("win is null").select("doc_id", "sig", F.col("n_words").cast("long").alias("n_words"))
     keys = ["doc_id", "sig"]
     n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
     out = counted.join(hits, keys, "left").select(*keys, "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"))
