@@ -1 +1 @@
-
+"""Relational operators over the canonical usage frame."""
