@@ -3,7 +3,8 @@
 A block starts at the UTC hour of its first entry and lasts ``hours``; the first entry after its end opens the next.
 Where one block ends depends only on the hour of its first entry, so entries are first reduced to slots of a grid that
 divides both the hour and the block's length. The chain of blocks is folded over slots, whose number follows the time
-span and not the number of entries. Blocks shorter than an hour use a slot for each different time.
+span and not the number of entries. Blocks shorter than an hour use a slot for each different time;
+entries at the same instant share a block.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from datetime import datetime
 from pathlib import Path
 
@@ -41,14 +42,15 @@ def _model(o: Column) -> Column:
 
 def counter_events(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(session_id, ts, ts_raw, model, is_fallback, token fields) from logs of cumulative counters; the order of lines counts."""
-    raws = [lines(spark, [f]).withColumn("root", F.lit(f.rstrip("/") + "/")) for f in folders]
+    raws = [lines(spark, [f]).withColumn("root", F.lit(re.sub("^[a-z]+:/+", "/", f).rstrip("/") + "/")) for f in folders]
     raw = raws[0]
     for more in raws[1:]:
         raw = raw.unionByName(more)
     rows = raw.where(F.trim("value") != "").withColumn("o", v.parsed(F.col("value"))).where("o is not null")
     o = F.col("o")
     rows = rows.where(v.is_text(o, "$.type", required=True, empty=True) & v.is_text(o, "$.timestamp", empty=True))
-    relative = F.when(F.locate(F.col("root"), F.col("file_path")) > 0, F.substring(F.col("file_path"), F.locate(F.col("root"), F.col("file_path")) + F.length("root"), F.lit(10_000))).otherwise(F.col("file_path"))
+    inside = F.substring(F.col("file_path"), F.length("root") + 1, F.length("file_path"))
+    relative = F.when(F.col("file_path").startswith(F.col("root")), inside).otherwise(F.col("file_path"))
     is_model = (v.text(o, "$.type") == "turn_context") & v.is_object(o, "$.payload", required=True)
     info = v.is_object(o, "$.payload.info")
     is_usage = (v.text(o, "$.type") == "event_msg") & (v.text(o, "$.payload.type") == "token_count") & info & v.text(o, "$.timestamp").isNotNull()
