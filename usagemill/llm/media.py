@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from . import jpeg
 
 #: Bytes of a row batch that a worker hands on.
-BATCH = 4_000_000
+BATCH = 2_000_000
+#: Rows of a batch that Spark hands to a worker.
+ROWS = 256
 STORED = "doc_id long, n_bytes long, media binary"
 READ = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string"
 
 
+def _small_batches(df: DataFrame) -> DataFrame:
+    """Rows of media are large: fewer of them go to a worker at a time, for the rest of the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df
+
+
 def _batched(rows, schema: pa.Schema):
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += sum(len(x) for x in row if isinstance(x, bytes))
-        if size >= BATCH or len(held) >= 2000:
+        if size >= BATCH or len(held) >= ROWS:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
             held, size = [], 0
     if held:
@@ -42,7 +50,7 @@ def store(docs: DataFrame, unit: int = 64) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
+    return _small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
 
 
 def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
@@ -61,7 +69,7 @@ def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, READ + ", rgb binary" * tensors)
+    return _small_batches(stored).select("doc_id", "n_bytes", "media").mapInArrow(run, READ + ", rgb binary" * tensors)
 
 
 def feature(rgb) -> str:
