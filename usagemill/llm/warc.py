@@ -7,6 +7,7 @@ system that Spark writes to will do.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -71,11 +72,11 @@ def records(pages: DataFrame, date: str, least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = 0, per_file: int = RECORDS) -> str:
-    """Write archives below path. Null html is an empty payload; a page without id is left out, for nothing can name its record.
+    """Write gzipped archives below path. Null html is an empty payload; a page without id is left out, for nothing can name its record.
 
     Rows that repeat a page_id and its payload are responses (or revisits) alike. An empty table writes no record.
     """
-    records(pages.where("page_id is not null"), date, least).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages.where("page_id is not null"), date, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
@@ -105,7 +106,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for h, block in parse(data.as_buffer()[:].to_pybytes()):
+                for h, block in parse(gzip.decompress(data.as_buffer())):
                     digest, new = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "response"
                     to = h.get("warc-refers-to-page-id")
                     rows.append((int(h["warc-page-id"]), h["warc-target-uri"], h["warc-type"], digest, len(block) if new else None, int(to) if to else None, not new or b32encode(hashlib.sha1(block).digest()).decode() == digest))
