@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, language, licenses, media, mixing, quality, secrets, simhash, suffixes, warc
+from . import decontaminate, language, licenses, media, mixing, quality, secrets, simhash, sql, suffixes, warc
 from .common import crc_of_id, table
 
 
@@ -68,4 +68,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    own = sql.oracles()
+    return own | {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own
