@@ -10,8 +10,8 @@ the sample positions, whose residues form a difference cover, are ranked first.
 PERIOD bytes; longer ties are resolved by the rank of the sample suffix within reach, and the few last bytes. Since
 equal windows have equal residues, one look-up serves all of a tie. Memory is bounded by the block.
 
-An anchor that occurs very often is not brought into one block: its stretches are first reduced to different ones by
-a partial aggregate, and the windows of what is left are grouped by digest.
+The stretches of a frequent anchor are first reduced to different ones by a partial aggregate. An anchor that still has
+too many for a block is not brought into one: its windows are grouped by digest.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ K = 24
 #: A perfect difference cover: every residue modulo PERIOD is a difference of two members.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-#: Occurrences of an anchor beyond which its windows are grouped by digest.
-HOT = 1000
+#: Occurrences of an anchor beyond which equal stretches are reduced to one first.
+HOT = 200
+#: Different stretches of an anchor that a block takes.
+MOST = 20_000
 #: Stretches of text in a block, on average.
 BLOCK = 8000
 
@@ -229,20 +231,28 @@ def _sorted_blocks(cold: DataFrame, blocks: int, length: int) -> DataFrame:
     return cold.withColumn("block", block).groupBy("block").applyInArrow(run, "doc_id long, start int, n int")
 
 
-def _grouped_windows(hot: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n) for stretches of very frequent anchors: equal stretches first, then windows by a 128-bit digest."""
-    keyed = hot.select("doc_id", "start", "n", "bytes", F.xxhash64("bytes").alias("a"), F.xxhash64(F.lit(1), "bytes").alias("b"))
-    heads = keyed.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"))
-    both = keyed.join(heads, ["a", "b"])
-    lead = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") == F.col("f.start"))
-    copies = both.where(~lead).select("doc_id", "start", "n")
-    each = both.where(lead).select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+def _different(frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first of equal stretches, by a 128-bit digest, and (doc_id, start, n) of the others.
+
+    The first is taken with a partial aggregate, so that copies meet in no task.
+    """
+    digests = [F.xxhash64("bytes").alias("a"), F.xxhash64(F.lit(1), "bytes").alias("b")]
+    first = F.min(F.struct("doc_id", "start", "n", "off", "h", "bytes")).alias("f")
+    leads = staged(frequent.select("*", *digests).groupBy("a", "b").agg(first).select("a", "b", "f.*"), "leads")
+    ids = leads.select("a", "b", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
+    copies = frequent.select("doc_id", "start", "n", *digests).join(ids, ["a", "b"]).where("doc_id <> _doc or start <> _start")
+    return leads.select("h", "doc_id", "start", "n", "off", "bytes"), copies.select("doc_id", "start", "n")
+
+
+def _grouped_windows(huge: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, n) of later windows among different stretches of an anchor that fits no block, grouped by a 128-bit digest."""
+    each = huge.select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     window = F.substring(F.col("bytes"), F.col("i") + 1, F.lit(length))
     each = staged(each.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.xxhash64(window).alias("a"), F.xxhash64(F.lit(1), window).alias("b")), "windows")
     heads = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m")
     both = each.join(heads, ["a", "b"])
     later = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))
-    return copies.union(both.where(later).select("doc_id", "start", F.lit(1).alias("n")))
+    return both.where(later).select("doc_id", "start", F.lit(1).alias("n"))
 
 
 def _kept(cut: DataFrame, length: int) -> DataFrame:
@@ -272,7 +282,7 @@ def _kept(cut: DataFrame, length: int) -> DataFrame:
     return cut.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     A byte is removed if a ``length``-byte string that covers it also starts earlier (at a smaller doc_id, or earlier in the
@@ -290,16 +300,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     first = own.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     copies = staged(joined_stats(own.select("doc_id", "sha"), first, "sha").where("doc_id <> first").select("doc_id"), "copies")
     rows = staged(_anchor_rows(texts.where(F.octet_length("text") >= length), length), "anchors")
-    often = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # Written, so that the join has a shuffle on either side and a frequent anchor's rows can be split.
+    often = staged(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "often")
     marks = rows.join(often, "h").select("doc_id", (F.col("pos").cast("long") * 2 + (F.col("m") > hot).cast("long")).alias("mark"))
     marks = staged(marks.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
     taking = texts if not odd.limit(1).count() else texts.withColumn("_sha", F.sha2("text", 256)).join(odd.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").where("lead is null or lead = _sha").select("doc_id", "text")
     parts = staged(_stretches(taking.join(marks, "doc_id").dropDuplicates(["doc_id"]) if heads.count() > own.count() else taking.join(marks, "doc_id"), length), "stretches")
-    cold = parts.where("not hot").drop("hot")
-    blocks = max(1, cold.select("h").count() // block)
-    runs = _sorted_blocks(cold, blocks, length)
+    cold, more = parts.where("not hot").drop("hot"), []
     if parts.where("hot").limit(1).count():
-        runs = runs.union(_grouped_windows(parts.where("hot"), length))
+        leads, others = _different(parts.where("hot").drop("hot"))
+        huge = staged(leads.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h"), "huge")
+        more.append(others)
+        if huge.limit(1).count():
+            more.append(_grouped_windows(leads.join(huge, "h", "left_semi"), length))
+            leads = leads.join(huge, "h", "left_anti")
+        cold = cold.select(*leads.columns).unionByName(leads)
+    runs = _sorted_blocks(cold, max(1, cold.select("h").count() // block), length)
+    for other in more:
+        runs = runs.union(other)
     runs = staged(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
     cut = _kept(taking.join(runs, "doc_id"), length).drop("kept").dropDuplicates(["doc_id"])
     cut = staged(cut.withColumnRenamed("doc_id", "_d"), "cut")
