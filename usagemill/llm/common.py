@@ -28,12 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/usagemill-checkpoints"
 
 
+#: With this, Spark removes a query's shuffle files when the query has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, so a lost executor costs no recomputation."""
+    """Write df as a Parquet table in the shared folder and read it back, so a lost executor costs no recomputation.
+
+    Once the table is written, the shuffle files that led to it are of no use and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan to come reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._staged)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def joined_stats(big: DataFrame, stats: DataFrame, key: str, how: str = "inner", most: int = 100_000, salts: int = 16) -> DataFrame:

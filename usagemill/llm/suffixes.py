@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, joined_stats, pieces, staged
+from .common import buffers, joined_stats, pieces, release, staged
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -304,6 +304,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     often = staged(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "often")
     marks = rows.join(often, "h").select("doc_id", (F.col("pos").cast("long") * 2 + (F.col("m") > hot).cast("long")).alias("mark"))
     marks = staged(marks.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
+    release(rows, often)
     taking = texts if not odd.limit(1).count() else texts.withColumn("_sha", F.sha2("text", 256)).join(odd.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").where("lead is null or lead = _sha").select("doc_id", "text")
     parts = staged(_stretches(taking.join(marks, "doc_id").dropDuplicates(["doc_id"]) if heads.count() > own.count() else taking.join(marks, "doc_id"), length), "stretches")
     cold, more = parts.where("not hot").drop("hot"), []
@@ -319,6 +320,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     for other in more:
         runs = runs.union(other)
     runs = staged(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
+    release(marks, parts)
     cut = _kept(taking.join(runs, "doc_id"), length).drop("kept").dropDuplicates(["doc_id"])
     cut = staged(cut.withColumnRenamed("doc_id", "_d"), "cut")
     gone = copies.select(F.col("doc_id").alias("_c"))
