@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keeps the first row of each key; rows with a null in the key are never duplicates.
 
-    Rows without a whole key bypass the shuffle's window, so they can't pile up in one partition.
+    Rows without a whole key are dealt out by a hash of the row, so that they can't pile up in one partition, and the
+    source is scanned once.
     """
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    kept = df.where(whole).withColumn("_place", place).where("_place = 1").drop("_place")
-    return kept.unionByName(df.where(~whole))
+    spread = F.when(~whole, F.xxhash64(*df.columns))
+    place = F.row_number().over(Window.partitionBy(*keys, spread).orderBy(*order))
+    return df.withColumns({"_place": place, "_whole": whole}).where("_place = 1 or not _whole").drop("_place", "_whole")
 
 
 def usage_order() -> list[Column]:

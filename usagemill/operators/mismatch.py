@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_off
-from .pricing import PREFIXES, match_prices, token_cost
+from .pricing import PREFIXES, priced, token_cost
 
 CLOSE = 0.1
 
@@ -14,8 +14,7 @@ CLOSE = 0.1
 def compared(usage: DataFrame, prices: DataFrame, prefixes: tuple = PREFIXES) -> DataFrame:
     """Rows with a stated cost and a real model: computed_cost, difference, percent_off, is_match."""
     both = usage.where("cost_usd is not null and model is not null and model <> '<synthetic>'")
-    known = match_prices(both, prices, prefixes).withColumnRenamed("model", "_model")
-    out = both.join(known, F.col("model") == F.col("_model"), "left").withColumn("computed_cost", token_cost())
+    out = priced(both, prices, prefixes).withColumn("computed_cost", token_cost())
     out = out.withColumn("percent_off", percent_off(F.col("cost_usd"), F.col("computed_cost")))
     return out.select(*usage.columns, "computed_cost", F.abs(F.col("cost_usd") - F.col("computed_cost")).alias("difference"), "percent_off", (F.col("percent_off") < CLOSE).alias("is_match"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tokens of a class beyond which the second tier holds; prefixes that are tried in order.
@@ -18,7 +18,7 @@ CLASSES = ("input", "output", "cache_creation", "cache_read")
 PRICE_COLUMNS = tuple(f"{c}_price" for c in CLASSES) + tuple(f"{c}_price_above" for c in CLASSES)
 PRICE_SCHEMA = "ordinal int, name string, " + ", ".join(f"{c} double" for c in PRICE_COLUMNS) + ", max_input_tokens long, fast double"
 #: Rows of the price table up to which it is broadcast.
-MOST_PRICES = 100_000
+MOST_PRICES = 20_000
 
 
 def price_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -30,26 +30,35 @@ def price_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def _bounded(prices: DataFrame) -> DataFrame:
     if prices.limit(MOST_PRICES + 1).count() > MOST_PRICES:
         raise ValueError(f"a price table has at most {MOST_PRICES} rows")
-    return F.broadcast(prices)
+    return prices
 
 
-def match_prices(models: DataFrame, prices: DataFrame, prefixes: tuple = PREFIXES) -> DataFrame:
-    """One row for each different non-empty ``model``, with its price row or nulls.
+def priced(rows: DataFrame, prices: DataFrame, prefixes: tuple = PREFIXES) -> DataFrame:
+    """rows with the price columns of their ``model``; nulls where no price is found.
 
     The exact name is tried, then each prefix with the name; else the first price in dataset order whose name holds the
-    model's or is held by it, in either case. Only different names are matched, never usage rows.
+    model's or is held by it, in either case. Rows are neither shuffled nor scanned for their models first: what a name can match
+    exactly is worked out from the price table, which is broadcast with one more row for the inexact search. That search
+    runs for rows without an exact match only.
     """
-    own = models.select("model").where("model is not null and model <> ''").distinct()
     table = _bounded(prices)
-    names = F.array(F.col("model"), *[F.concat(F.lit(p), F.col("model")) for p in prefixes])
-    tried = own.select("model", F.posexplode(names).alias("step", "name"))
-    direct = tried.join(table, "name").withColumn("rank", F.col("step"))
-    low, key = F.lower("model"), F.lower("name")
-    fuzzy = own.join(table, key.contains(low) | low.contains(key)).withColumn("rank", F.lit(len(prefixes) + 1))
-    cols = ["model", "rank", "ordinal", "name", *PRICE_COLUMNS, "max_input_tokens", "fast"]
-    found = direct.select(*cols).unionByName(fuzzy.select(*cols))
-    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy("rank", "ordinal"))).where("_n = 1").drop("_n", "rank", "ordinal")
-    return own.join(best.withColumnRenamed("name", "price_name"), "model", "left")
+    price = F.struct(F.col("name").alias("price_name"), *PRICE_COLUMNS, "max_input_tokens", "fast")
+    # A price is found by its own name (rank 0), or by what follows the k-th prefix (rank k).
+    keys = [F.struct(F.lit(0).alias("rank"), F.col("name").alias("key"))]
+    keys += [F.struct(F.lit(k).alias("rank"), F.when(F.col("name").startswith(p), F.substring(F.col("name"), F.lit(len(p) + 1), F.char_length("name"))).alias("key")) for k, p in enumerate(prefixes, 1)]
+    each = table.select("ordinal", price.alias("price"), F.explode(F.array(*keys)).alias("x")).select("ordinal", "price", "x.rank", F.col("x.key").alias("_key")).where("_key <> ''")
+    exact = each.groupBy("_key").agg(F.min_by("price", F.struct("rank", "ordinal")).alias("_exact"))
+    loose = table.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("name").alias("low"), price.alias("price")))).alias("_loose"))
+    low = F.lower("model")
+    near = F.get(F.filter("_loose", lambda p: p["low"].contains(low) | low.contains(p["low"])), F.lit(0))["price"]
+    both = rows.join(F.broadcast(exact), F.col("model") == F.col("_key"), "left").crossJoin(F.broadcast(loose))
+    best = F.when(F.col("model") != "", F.coalesce("_exact", near))
+    return both.withColumn("_price", best).select(*[rows[c] for c in rows.columns], "_price.*")
+
+
+def match_prices(models: DataFrame, prices: DataFrame, prefixes: tuple = PREFIXES) -> DataFrame:
+    """One row for each different non-empty ``model``, with its price columns."""
+    return priced(models.select("model").where("model is not null and model <> ''").distinct(), prices, prefixes)
 
 
 def tiered(tokens: Column, base: Column, above: Column) -> Column:
@@ -72,21 +81,18 @@ def token_cost(speed: Column | None = None) -> Column:
 def with_cost(usage: DataFrame, prices: DataFrame | None, mode: str = "auto", prefixes: tuple = PREFIXES, speed: bool = True, zero_is_missing: bool = False) -> DataFrame:
     """Adds ``cost``. display: the stated cost or 0; calculate: from tokens; auto: the stated cost where there is one.
 
-    In display mode there is no price join in the plan. Prices are matched for different model names only.
+    In display mode there is no price join in the plan.
     """
     stated = F.coalesce(F.col("cost_usd"), F.lit(0.0))
     if mode == "display":
         return usage.withColumn("cost", stated)
     if prices is None or mode not in ("auto", "calculate"):
         raise ValueError("a cost mode is display, or auto or calculate with prices")
-    keep = usage.columns
-    known = match_prices(usage, prices, prefixes).withColumnRenamed("model", "_model")
-    priced = usage.join(known, F.col("model") == F.col("_model"), "left")
     own = token_cost(F.col("speed") if speed else None)
     if mode == "auto":
         given = F.col("cost_usd") > 0 if zero_is_missing else F.col("cost_usd").isNotNull()
         own = F.when(given, F.col("cost_usd")).otherwise(own)
-    return priced.withColumn("cost", own).select(*keep, "cost")
+    return priced(usage, prices, prefixes).withColumn("cost", own).select(*usage.columns, "cost")
 
 
 def context_limit(models: DataFrame, prices: DataFrame, default: int = 200_000) -> DataFrame:
