@@ -63,10 +63,11 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
     text = F.col("text").cast("string")
     known = template_table(docs.sparkSession, templates, least)
     sizes = known.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    # Distinct bigrams can be fewer than words, so only the lower bound prunes by words.
+    # Every different word but the first ends some bigram, so bigrams are at least the different words less one.
     paragraphs = F.filter(F.split(text, r"\r?\n[\x20\t]*\r?\n"), lambda p: p.contains("\n"))
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("sig"), F.posexplode(F.concat(F.split(text, r"\r?\n"), paragraphs)).alias("segment", "line"))
     said = rows.select("doc_id", "sig", "segment", words(F.col("line")).alias("w")).where(F.size("w") >= (sizes["lo"] or 0))
+    said = said.where(F.size(F.array_distinct("w")) - 1 <= (sizes["hi"] or 0))
     cut = said.select("doc_id", "sig", "segment", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own"))
     both = cut.join(F.broadcast(known), "n")
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
