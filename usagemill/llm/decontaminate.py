@@ -48,8 +48,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     text = F.col("text").cast("string")
     used = each.select(F.explode("words").alias("word")).distinct()
     loose = docs.select(F.explode(words(text)).alias("word"))
-    counts = loose.join(_small(used), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = each.select("win", F.size("words").alias("len"), F.posexplode("words").alias("at", "word")).join(counts, "word")
+    counts = staged(loose.join(_small(used), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "counts")
+    ranked = each.select("win", F.size("words").alias("len"), F.posexplode("words").alias("at", "word")).join(_small(counts), "word")
     # A window with a word that no document has can't occur.
     fits = ranked.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("x"), F.count("*").alias("k"), F.first("len").alias("len")).where("k = len")
     prefix = staged(fits.select("win", "len", F.col("x.word").alias("word"), F.col("x.at").alias("at")), "prefixes")
