@@ -76,7 +76,7 @@ def test_stream_blocks_match_batch(spark, logs):
 
 def test_command_line(spark, logs):
     daily = json.loads(cli.main(["daily", "--root", str(logs), "--json", "--mode", "display"], spark))
-    assert [r["date"] for r in daily["daily"]] == sorted(r["date"] for r in daily["daily"]) and daily["totals"]["cost"] == pytest.approx(75)
+    assert [r["date"] for r in daily["daily"]] == sorted(r["date"] for r in daily["daily"]) and daily["totals"]["totalCost"] == pytest.approx(75)
     assert json.loads(cli.main(["daily", "--root", str(logs), "--json", "--since", "20300101"], spark)) == []
     assert json.loads(cli.main(["monthly", "--root", str(logs), "--json", "--since", "20300101"], spark))["totals"]["inputTokens"] == 0
     assert "p" in json.loads(cli.main(["daily", "--root", str(logs), "--json", "--instances"], spark))["projects"]
@@ -84,7 +84,7 @@ def test_command_line(spark, logs):
     one = json.loads(cli.main(["session", "--root", str(logs), "--json", "--id", "000"], spark))
     assert one["totalCost"] == pytest.approx(16.5) and len(one["entries"]) == 33
     blocks = json.loads(cli.main(["blocks", "--root", str(logs), "--json", "--now", "2025-01-05T23:59:00", "--recent"], spark))["blocks"]
-    assert blocks and all(b["start"] >= "2025-01-02" for b in blocks)
+    assert blocks and all(b["startTime"] >= "2025-01-02" for b in blocks)
     assert "+--" in cli.main(["weekly", "--root", str(logs), "--first-day", "monday", "--width", "90"], spark)
     hook = {"session_id": "none", "transcript_path": "/none", "cwd": "/", "model": {"id": "no-such", "display_name": "M"}, "workspace": {"current_dir": "/", "project_dir": "/"}}
     assert cli.main(["statusline", "--root", str(logs), "--now", "2026-01-01"], spark, io.StringIO(json.dumps(hook))) == "🤖 M | 💰 N/A session / $0.00 today / No active block | 🧠 N/A"

@@ -152,10 +152,10 @@ def test_roots(tmp_path):
 def test_json_output(engine):
     e = engine({"p/s/a.jsonl": [row("2025-01-10T10:00:00Z", costUSD=0.25)], "q/s/a.jsonl": [row("2025-01-10T10:00:00Z", costUSD=0.5)]})
     doc = output.report_json(e.daily(breakdowns=True), "daily")
-    assert doc["daily"][0]["inputTokens"] == 200 and doc["totals"]["cost"] == 0.75 and doc["daily"][0]["modelBreakdowns"][0]["model"] == SONNET
+    assert doc["daily"][0]["inputTokens"] == 200 and doc["totals"]["totalCost"] == 0.75 and doc["daily"][0]["modelBreakdowns"][0]["modelName"] == SONNET
     assert set(output.by_project_json(e.daily(by_project=True))["projects"]) == {"p", "q"}
     none = e.daily(since="20300101")
-    assert output.report_json(none, "daily", "list") == [] and output.report_json(none, "daily")["totals"]["cost"] == 0 and output.report_json(none, "daily", "null")["totals"] is None
+    assert output.report_json(none, "daily", "list") == [] and output.report_json(none, "daily")["totals"]["totalCost"] == 0 and output.report_json(none, "daily", "null")["totals"] is None
     assert json.loads(output.json_lines(e.daily()).first().value)["totalTokens"] == 300
     shown = output.table([r.asDict() for r in e.daily().collect()], ["date", "input_tokens", "cost"], 90, ["date", "cost"])
     assert "$0.75" in shown and "Input" not in shown
@@ -209,7 +209,11 @@ def test_engine_blocks(engine):
     assert [(r.start.hour, r.is_gap, r.entries) for r in rows] == [(10, False, 3), (15, False, 1), (20, True, 0), (23, False, 1)]
     assert [r.is_active for r in rows] == [False, False, False, True]
     assert e.blocks(now, active=True).count() == 1 and e.blocks(now, since="20250111").count() == 0
-    assert output.blocks_json(e.blocks(now))["blocks"][0]["blockId"] == "2025-01-10T10:00:00.000Z"
+    docs = output.blocks_json(e.blocks(now, limit="100"))["blocks"]
+    assert docs[0]["id"] == "2025-01-10T10:00:00.000Z" and docs[0]["burnRate"] is None and docs[0]["tokenCounts"]["inputTokens"] == 3000
+    assert "tokenLimitStatus" not in docs[-1] and docs[-1]["isActive"]  # a single entry has no burn rate
+    later = output.blocks_json(e.blocks(datetime(2025, 1, 10, 14), limit="100", until="20250110"))["blocks"]
+    assert any(b["isActive"] for b in later)
 
 
 # ---------------------------------------------------------------- other formats
@@ -235,6 +239,9 @@ def test_counter_logs(spark, tmp_path):
     assert day.cost == pytest.approx((1000 + 700) * 1.25e-6 + 310 * 1.25e-7 + 800 * 1e-5)
     assert [(r.session_id, r.directory, r.session_file) for r in out["sessions"].collect()] == [("2025/one", "2025", "one"), ("two", "", "two")]
     assert [r.month for r in out["monthly"].collect()] == ["2025-09"]
+    doc = api.TOOLS["counter-daily"](spark, [str(tmp_path)])
+    assert doc["totals"]["inputTokens"] == 2015 and doc["daily"][0]["models"]["gpt-5"]["isFallback"] is False and doc["daily"][0]["costUSD"] > 0
+    assert api.TOOLS["counter-daily"](spark, [str(tmp_path / "none")]) == {"daily": [], "totals": None}
 
 
 def test_message_store(spark, tmp_path):
@@ -347,3 +354,10 @@ def test_report_is_lazy_and_compact(spark):
 
     plan = reports.daily(catalog.costed(spark, "/root/testdata/sf0.001"), breakdowns=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 0
+
+
+def test_session_breakdowns_agree(engine):
+    e = engine({"p/sub/s1/a.jsonl": [row("2025-01-10T10:00:00Z", version="1.0.2"), row("2025-01-12T10:00:00Z", version="1.0.1", model=OPUS), row("2025-01-11T10:00:00Z", version="1.0.1")]})
+    plain, full = e.sessions().first(), e.sessions(breakdowns=True).first()
+    assert all(plain[c] == full[c] for c in ("last_activity", "versions", "input_tokens", "total_tokens")) and full.last_activity == "2025-01-12"
+    assert full.models_used == [SONNET, OPUS] and [b.model for b in full.model_breakdowns] == [OPUS, SONNET]

@@ -58,11 +58,10 @@ def main(argv: list[str] | None = None, spark=None, stdin=None) -> str:
         own = engine.session(o["id"])
         from .plans import reports
 
-        total = output._plain(reports.session_total(own).first())
-        rows = [output._plain(r) for r in reports.session_entries(own).collect()]
-        doc = {"sessionId": o["id"], "totalCost": total["cost"], "totalTokens": total["totalTokens"], "entries": rows} if rows else None
+        doc = output.session_json(o["id"], reports.session_entries(own).collect(), reports.session_total(own).first())
+        rows = doc["entries"] if doc else []
     else:
-        more = {"breakdowns": bool(o.get("breakdown")), "project": o.get("project"), "order": o["order"]}
+        more = {"breakdowns": bool(o.get("breakdown") or o.get("json") or o.get("jq")), "project": o.get("project"), "order": o["order"]}
         if report != "session":
             more["by_project"] = bool(o.get("instances"))
         if report == "weekly":
@@ -78,7 +77,7 @@ def main(argv: list[str] | None = None, spark=None, stdin=None) -> str:
     if o.get("json"):
         return json.dumps(doc, indent=2, ensure_ascii=False)
     names = [k for k in (rows[0] if rows else {}) if not isinstance(rows[0][k], list | dict)]
-    return output.table(rows, names, o.get("width") or 120, names[:1] + [n for n in names if n in ("totalTokens", "cost")])
+    return output.table(rows, names, o.get("width") or 120, names[:1] + [n for n in names if n in ("totalTokens", "totalCost", "costUSD")])
 
 
 if __name__ == "__main__":

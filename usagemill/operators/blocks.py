@@ -135,12 +135,11 @@ def with_projection(rated: DataFrame, now: datetime) -> DataFrame:
 
 
 def with_limit_status(projected: DataFrame, limit: int | None, warn: float = 0.8) -> DataFrame:
-    """Adds percent_used and limit_status of projected blocks."""
-    if limit is None or limit <= 0:
-        return projected.withColumns({"percent_used": F.lit(None).cast("double"), "limit_status": F.lit(None).cast("string")})
+    """Adds token_limit, percent_used and limit_status of projected blocks."""
+    bound = F.lit(limit if limit and limit > 0 else None).cast("long")
     use = F.col("projected_tokens")
-    status = F.when(use > limit, "exceeds").when(use > limit * warn, "warning").when(use.isNotNull(), "ok")
-    return projected.withColumns({"percent_used": use / limit * 100, "limit_status": status})
+    status = F.when(use > bound, "exceeds").when(use > bound * warn, "warning").when(use.isNotNull() & bound.isNotNull(), "ok")
+    return projected.withColumns({"token_limit": bound, "percent_used": use / bound * 100, "limit_status": status})
 
 
 def most_tokens(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import blocks as blk
 from ..operators import mismatch as mis
+from ..operators.counters import FIELDS
 from ..operators.pricing import LEDGER_PREFIXES, STORE_ALIASES, context_limit, counter_prices, with_cost
 from ..sources import hook, other_logs, prices, usage_log
 from . import output, reports
@@ -113,18 +114,25 @@ def agent_reports(spark: SparkSession, folder: str, zone: str = "UTC", **options
     return {"daily": reports.agent_report(usage, "date", zone, **options), "monthly": reports.agent_report(usage, "month", zone, **options), "sessions": reports.agent_report(usage, "session", zone, **options)}
 
 
-#: Tools by name, for a server to expose: each takes (engine, options) and gives a JSON document.
+def _counter_json(spark: SparkSession, folders: list[str], name: str, options: dict) -> dict:
+    out = counter_reports(spark, folders, **options)
+    if name not in out:
+        return {name: [], "totals": None}
+    rows = out[name].collect()
+    if not rows:
+        return {name: [], "totals": None}
+    sums = out[name].agg(*[F.sum(f).alias(f) for f in (*FIELDS, "cost")]).first()
+    return {name: [output.plain(r, output.COUNTER) for r in rows], "totals": output.plain(sums, output.COUNTER)}
+
+
+#: Tools by name, for a server to expose: JSON documents of an engine, or of counter logs.
 TOOLS = {
-    "daily": lambda e, **o: output.report_json(e.daily(**o), "daily"),
-    "weekly": lambda e, **o: output.report_json(e.weekly(**o), "weekly"),
-    "monthly": lambda e, **o: output.report_json(e.monthly(**o), "monthly"),
-    "session": lambda e, **o: output.report_json(e.sessions(**o), "sessions"),
+    "daily": lambda e, **o: output.report_json(e.daily(breakdowns=True, **o), "daily", "list"),
+    "weekly": lambda e, **o: output.report_json(e.weekly(breakdowns=True, **o), "weekly"),
+    "monthly": lambda e, **o: output.report_json(e.monthly(breakdowns=True, **o), "monthly"),
+    "session": lambda e, **o: output.report_json(e.sessions(breakdowns=True, **o), "sessions", "list"),
     "blocks": lambda e, **o: output.blocks_json(e.blocks(**o)),
-    "counter-daily": lambda spark, folders, **o: output.report_json(_as_usage(counter_reports(spark, folders, **o)["daily"]), "daily", "null"),
-    "counter-monthly": lambda spark, folders, **o: output.report_json(_as_usage(counter_reports(spark, folders, **o)["monthly"]), "monthly", "null"),
+    "counter-daily": lambda spark, folders, **o: _counter_json(spark, folders, "daily", o),
+    "counter-monthly": lambda spark, folders, **o: _counter_json(spark, folders, "monthly", o),
+    "counter-sessions": lambda spark, folders, **o: _counter_json(spark, folders, "sessions", o),
 }
-
-
-def _as_usage(report: DataFrame) -> DataFrame:
-    """Counter columns under the names that totals use: cached tokens are read from a cache, none are written."""
-    return report.withColumn("cache_read_tokens", F.col("cached_input_tokens")).withColumn("cache_creation_tokens", F.lit(0).cast("long"))

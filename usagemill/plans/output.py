@@ -19,37 +19,70 @@ def camel(name: str) -> str:
     return first + "".join(x.capitalize() for x in rest)
 
 
-def _plain(value):
+#: Names in JSON documents that differ from the columns'.
+REPORT = {"cost": "totalCost"}
+BREAKDOWN = {"model": "modelName"}
+COUNTER = {"cost": "costUSD", "session_file": "sessionFile"}
+ENTRY = {"ts_raw": "timestamp", "cost_usd": "costUSD"}
+
+
+def plain(value, names: dict | None = None):
+    """JSON-ready form of a collected value; names are those of its own fields, breakdowns have theirs."""
+    names = names or {}
     if isinstance(value, datetime):
         return value.strftime("%Y-%m-%dT%H:%M:%S.") + f"{value.microsecond // 1000:03d}Z"
     if hasattr(value, "asDict"):
-        return {camel(k): _plain(x) for k, x in value.asDict().items()}
+        return {names.get(k, camel(k)): plain(x, BREAKDOWN if k == "model_breakdowns" else None) for k, x in value.asDict().items()}
     if isinstance(value, dict):
-        return {k: _plain(x) for k, x in value.items()}
+        return {k: plain(x) for k, x in value.items()}
     if isinstance(value, list):
-        return [_plain(x) for x in value]
+        return [plain(x, names) for x in value]
     return value
 
 
-def report_json(report: DataFrame, name: str, empty_totals: str = "zeros") -> dict | list:
+def report_json(report: DataFrame, name: str, empty_totals: str = "zeros", names: dict = REPORT) -> dict | list:
     """{name: rows, totals}. An empty report is [] (list), has zero totals (zeros) or null totals (null)."""
-    rows = [_plain(r) for r in report.collect()]
+    rows = [plain(r, names) for r in report.collect()]
     if not rows and empty_totals == "list":
         return []
     if not rows and empty_totals == "null":
         return {name: [], "totals": None}
-    return {name: rows, "totals": _plain(reports.totals(report).first())}
+    return {name: rows, "totals": plain(reports.totals(report).first(), names)}
 
 
 def by_project_json(report: DataFrame, name: str = "projects") -> dict:
-    """{name: {project: rows}, totals}, grouped by the engine."""
-    rest = [c for c in report.columns if c != "project"]
-    grouped = report.groupBy("project").agg(F.sort_array(F.collect_list(F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in rest])))).alias("rows")).orderBy("project")
-    return {name: {r["project"]: [json.loads(x) for x in r["rows"]] for r in grouped.collect()}, "totals": _plain(reports.totals(report).first())}
+    """{name: {project: rows}, totals}; rows keep the report's order within a project."""
+    out: dict = {}
+    for r in report.collect():
+        row = plain(r, REPORT)
+        out.setdefault(row.pop("project") or "unknown", []).append(row)
+    return {name: out, "totals": plain(reports.totals(report).first(), REPORT)}
+
+
+def session_json(session_id: str, entries: list, total) -> dict | None:
+    """One session with its entries; None if there is none."""
+    if not entries:
+        return None
+    return {"sessionId": session_id, "totalCost": total["cost"], "totalTokens": total["total_tokens"], "entries": [plain(r, ENTRY) for r in entries]}
+
+
+def block_json(r) -> dict:
+    """One block; burn rate and projection are given for active blocks, the limit's status with a projection."""
+    live = r["is_active"] and r["tokens_per_minute"] is not None
+    limited = live and r["token_limit"] is not None and r["projected_tokens"] is not None
+    times = {camel(k): plain(r[v]) for k, v in (("start_time", "start"), ("end_time", "end"), ("actual_end_time", "actual_end"))}
+    return {"id": r["block_id"], **times} | {
+        "isActive": r["is_active"], "isGap": r["is_gap"], "entries": r["entries"],
+        "tokenCounts": {"inputTokens": r["input_tokens"], "outputTokens": r["output_tokens"], "cacheCreationInputTokens": r["cache_creation_tokens"], "cacheReadInputTokens": r["cache_read_tokens"]},
+        "totalTokens": r["input_tokens"] + r["output_tokens"] + r["cache_creation_tokens"] + r["cache_read_tokens"], "costUSD": r["cost"], "models": r["models"],
+        "burnRate": {"tokensPerMinute": r["tokens_per_minute"], "tokensPerMinuteForIndicator": r["indicator"], "costPerHour": r["cost_per_hour"]} if live else None,
+        "projection": {"totalTokens": r["projected_tokens"], "totalCost": r["projected_cost"], "remainingMinutes": r["remaining_minutes"]} if live else None,
+        "usageLimitResetTime": plain(r["reset_ts"]),
+    } | ({"tokenLimitStatus": {"limit": r["token_limit"], "projectedUsage": r["projected_tokens"], "percentUsed": r["percent_used"], "status": r["limit_status"]}} if limited else {})
 
 
 def blocks_json(projected: DataFrame) -> dict:
-    return {"blocks": [_plain(r) for r in projected.orderBy("start", "is_gap").collect()]}
+    return {"blocks": [block_json(r) for r in projected.orderBy("start", "is_gap").collect()]}
 
 
 def json_lines(report: DataFrame) -> DataFrame:

@@ -43,14 +43,17 @@ def models_used(costed: DataFrame, keys: list[str]) -> DataFrame:
     return first.groupBy(*keys).agg(seen_list(F.col("model"), F.struct("seen", "model")).alias("models_used"))
 
 
-def with_breakdowns(costed: DataFrame, keys: list[str]) -> DataFrame:
-    """by_key() plus models_used and model_breakdowns (costliest first). One shuffle of partial sums by (key, model) feeds all three."""
-    each = costed.groupBy(*keys, "model").agg(*_sums(), F.min("ts").alias("seen"))
+def with_breakdowns(costed: DataFrame, keys: list[str], extra: tuple = ()) -> DataFrame:
+    """by_key() plus models_used and model_breakdowns (costliest first). One shuffle of partial sums by (key, model) feeds all three.
+
+    extra: pairs of an aggregate by (key, model) and the aggregate by key of what it gave.
+    """
+    each = costed.groupBy(*keys, "model").agg(*_sums(), F.min("ts").alias("seen"), *[x for x, _ in extra])
     real = F.coalesce("model", F.lit("unknown")) != SYNTHETIC
     item = F.struct((-F.col("cost")).alias("less"), "seen", F.coalesce("model", F.lit("unknown")).alias("model"), *TOKENS, "cost")
     rows = each.groupBy(*keys).agg(
         *_sums(), F.array_sort(F.collect_list(F.when(real, item))).alias("items"),
-        seen_list(F.when(F.col("model") != SYNTHETIC, F.col("model")), F.struct("seen", "model")).alias("models_used"),
+        seen_list(F.when(F.col("model") != SYNTHETIC, F.col("model")), F.struct("seen", "model")).alias("models_used"), *[x for _, x in extra],
     )
     told = F.transform("items", lambda x: F.struct(x["model"].alias("model"), *[x[c].alias(c) for c in (*TOKENS, "cost")]))
     return rows.withColumn("model_breakdowns", told).withColumn("total_tokens", _total()).drop("items")
@@ -88,10 +91,13 @@ def iso_weekly(costed: DataFrame, zone: str = "UTC", **options) -> DataFrame:
 def sessions(costed: DataFrame, zone: str = "UTC", since: str | None = None, until: str | None = None, project: str | None = None, order: str = "desc", breakdowns: bool = False) -> DataFrame:
     """By (project_path, session_id): sums, last_activity (the day of the latest raw time) and versions. Dates filter on last_activity."""
     keys = ["project_path", "session_id"]
-    out = with_breakdowns(costed, keys) if breakdowns else by_key(costed, keys)
-    last = costed.groupBy(*keys).agg(F.max_by("ts", "ts_raw").alias("_last"), F.sort_array(F.collect_set("version")).alias("versions"))
-    same = [out[k].eqNullSafe(last[k]) for k in keys]
-    out = out.join(last, same).select(*[out[c] for c in out.columns], dates.day_key(F.col("_last"), zone).alias("last_activity"), "versions")
+    latest, versions = F.max(F.struct("ts_raw", "ts")).alias("_last"), F.collect_set("version").alias("versions")
+    if breakdowns:
+        both = F.array_distinct(F.flatten(F.collect_list("versions"))).alias("versions")
+        out = with_breakdowns(costed, keys, ((latest, F.max("_last").alias("_last")), (versions, both)))
+    else:
+        out = costed.groupBy(*keys).agg(*_sums(), latest, versions).withColumn("total_tokens", _total())
+    out = out.withColumns({"last_activity": dates.day_key(F.col("_last.ts"), zone), "versions": F.sort_array("versions")}).drop("_last")
     if since or until:
         out = out.where(dates.in_range(F.col("last_activity"), since, until))
     if project is not None:
