@@ -9,6 +9,8 @@ hold only true links, and each such group gives a star instead of all pairs.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,26 +21,39 @@ from .common import staged
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: A variant shared by more fingerprints than this gives stars instead of pairs.
 CROWD = 32
 
 
+def _blocks(text: bytes, size: int = 1 << 20):
+    """Stretches of about ``size`` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def simhash(text: bytes, words: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a UTF-8 text; 0 if it has no word."""
-    parts = text.translate(_LOWER).split()
-    if not parts:
-        return 0
-    if len(parts) < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
-    else:
-        whole, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    """The unsigned 64-bit fingerprint of a UTF-8 text; 0 if it has no word. Memory doesn't grow with the text."""
+    ones, n, carry, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for block in _blocks(text):
+        parts = carry + block.translate(_LOWER).split()
+        carry = parts[max(0, len(parts) - words + 1) :]
+        if len(parts) < words:
+            continue
+        whole = b" ".join(parts)
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(whole[s:e], 42) for s, e in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())]
-    ones, n = np.zeros(64, np.int64), len(hashes)
-    bits = np.array(hashes, dtype="<u8")
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(bits[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        bits = np.array(hashes, dtype="<u8")
+        for i in range(0, len(bits), 1 << 16):
+            ones += np.unpackbits(bits[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n:
+        return digest(b" ".join(carry), 42) if carry else 0
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -80,7 +95,8 @@ def links(distinct: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
         raise ValueError("two halves with one wildcard serve a distance of 2")
     keyed = _variants(distinct)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    shared = shared.where("n > 1 and (lo = -1 or lo < hi)").select("key", "n")
+    # Written, so that the join has a shuffle on either side and a frequent variant's rows can be split.
+    shared = staged(shared.where("n > 1 and (lo = -1 or lo < hi)").select("key", "n"), "shared")
     members = staged(keyed.join(shared, "key"), "variants")
     few = members.where(F.col("n") <= crowd)
     a, b = few.select("key", F.col("fp").alias("u"), F.col("side").alias("s")), few.select("key", F.col("fp").alias("v"), F.col("side").alias("t"))
