@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import paths
@@ -94,9 +94,8 @@ def deduped(usage: DataFrame) -> DataFrame:
 def session_by_id(spark: SparkSession, roots: list[str], session: str) -> DataFrame:
     """Usage rows of the first file named <session>.jsonl, without dedupe."""
     usage = read(spark, roots).where(paths.stem(F.col("file_path")) == session)
-    first = Window.partitionBy(F.lit(1)).orderBy("file_path")
-    one = usage.select("file_path").distinct().withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return usage.join(one, "file_path", "left_semi").select(*COLUMNS)
+    first = usage.agg(F.min("file_path").alias("_first"))  # one row
+    return usage.join(F.broadcast(first), F.col("file_path") == F.col("_first"), "left_semi").select(*COLUMNS)
 
 
 def context_tokens(spark: SparkSession, path: str) -> DataFrame:
