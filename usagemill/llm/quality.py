@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import buffers, pieces
 
 PASSAGE = 512
+#: Bytes that are encoded at a time; a multiple of PASSAGE.
+SLICE = 1 << 20
 PAIRS = 64
 HIDDEN = 32
 GATE = 16
@@ -45,7 +47,28 @@ _MIX = np.random.default_rng(7).integers(1, 2**62, 64).astype(np.uint64) | np.ui
 
 
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (rows) and the number of passages of each document, which is at least 1."""
+    """Features of all passages (rows) and the number of passages of each document, which is at least 1.
+
+    Documents are cut at multiples of SLICE, and slices are encoded in groups, so that memory doesn't grow with a document.
+    """
+    sizes = np.diff(offsets)
+    slices = np.maximum(1, -(-sizes // SLICE))
+    owner = np.repeat(np.arange(len(sizes)), slices)
+    order = np.arange(len(owner)) - np.repeat(np.cumsum(slices) - slices, slices)
+    cuts = np.append(offsets[:-1][owner] + order * SLICE, offsets[-1])
+    rows, bags = [np.zeros((0, WIDTH), np.float32)], np.zeros(len(sizes), np.int64)
+    at = 0
+    while at < len(owner):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SLICE, side="right")) - 1)
+        end = min(end, len(owner))
+        x, n = _encode(data[cuts[at] : cuts[end]], cuts[at : end + 1] - cuts[at])
+        rows.append(x)
+        np.add.at(bags, owner[at:end], n)
+        at = end
+    return np.concatenate(rows), bags
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     bags = np.maximum(1, -(-sizes // PASSAGE))
     total = int(bags.sum())
