@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Places of a vector.
 WIDTH = 512
+#: Characters of a text that are taken at a time.
+CHUNK = 1 << 20
 #: Bound on the labelled documents that prototypes are learned from, on average.
 MOST_LABELLED = 20_000
 #: Bound on the languages, whose prototypes are sent to every executor.
@@ -86,13 +88,15 @@ class Space:
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The text's vector scaled to length 1; None without a letter."""
-        grams, counts = self.trigrams(text or "")
-        if not len(grams):
+        out, any_letter = np.zeros(self.width, np.float64), False
+        for at in range(0, len(text or ""), CHUNK):  # a long text is the sum of its chunks
+            grams, counts = self.trigrams(text[at : at + CHUNK])
+            any_letter |= len(grams) > 0
+            for i in range(0, len(grams), 4096):
+                part = self.places(grams[i : i + 4096])
+                out += counts[i : i + 4096].astype(np.float32) @ self.rows[part]
+        if not any_letter:
             return None
-        out = np.zeros(self.width, np.float32)
-        for i in range(0, len(grams), self.most // 2):
-            part = self.places(grams[i : i + self.most // 2])
-            out += counts[i : i + self.most // 2].astype(np.float32) @ self.rows[part]
         size = float(np.linalg.norm(out))
         return out / size if size else out
 
