@@ -271,24 +271,39 @@ class Image:
         """Samples of each component at its own resolution."""
         out = []
         for c in self.parts:
-            scaled = (c.coef * self.quant[c.table]) @ _IDCT
-            samples = np.clip((scaled.astype(np.int32) + (1 << (_SHIFT - 1)) >> _SHIFT) + 128, 0, 255).astype(np.uint8)
-            out.append(samples.reshape(c.high, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(c.high * 8, c.wide * 8))
+            plane = np.empty((c.high, 8, c.wide, 8), np.uint8)
+            step = max(1, 16_384 // c.wide)  # rows of blocks at a time
+            for i in range(0, c.high, step):
+                scaled = (c.coef[i * c.wide : (i + step) * c.wide] * self.quant[c.table]) @ _IDCT
+                samples = np.clip((scaled.astype(np.int32) + (1 << (_SHIFT - 1)) >> _SHIFT) + 128, 0, 255)
+                plane[i : i + step] = samples.reshape(-1, c.wide, 8, 8).transpose(0, 2, 1, 3)
+            out.append(plane.reshape(c.high * 8, c.wide * 8))
         return out
 
     def rgb(self) -> np.ndarray:
         """height x width x 3, 8 bits; a single component gives equal channels."""
-        planes = [np.repeat(np.repeat(p, self.vmax // c.v, axis=0), self.hmax // c.h, axis=1)[: self.height, : self.width] for c, p in zip(self.parts, self.planes())]
-        if len(planes) == 1:
-            return np.repeat(planes[0][:, :, None], 3, axis=2)
-        y, cb, cr = (p.astype(np.int32) for p in planes)
-        cb, cr, y = cb - 128, cr - 128, (y << 16) + (1 << 15)
+        planes = self.planes()
         out = np.empty((self.height, self.width, 3), np.uint8)
-        out[:, :, 0] = np.clip((y + 91881 * cr) >> 16, 0, 255)
-        out[:, :, 1] = np.clip((y - 22554 * cb - 46802 * cr) >> 16, 0, 255)
-        out[:, :, 2] = np.clip((y + 116130 * cb) >> 16, 0, 255)
+        tall = 8 * self.vmax
+        step = tall * max(1, (1 << 20) // (tall * self.width))
+        for top in range(0, self.height, step):  # a strip at a time: chroma upsampled, then converted
+            strip = [self._upsampled(p, c, top, step) for c, p in zip(self.parts, planes)]
+            own = out[top : top + step]
+            if len(strip) == 1:
+                own[:] = strip[0][:, :, None]
+                continue
+            y, cb, cr = (p.astype(np.int32) for p in strip)
+            cb, cr, y = cb - 128, cr - 128, (y << 16) + (1 << 15)
+            own[:, :, 0] = np.clip((y + 91881 * cr) >> 16, 0, 255)
+            own[:, :, 1] = np.clip((y - 22554 * cb - 46802 * cr) >> 16, 0, 255)
+            own[:, :, 2] = np.clip((y + 116130 * cb) >> 16, 0, 255)
         return out
 
+    def _upsampled(self, plane: np.ndarray, c: Component, top: int, step: int) -> np.ndarray:
+        down, across = self.vmax // c.v, self.hmax // c.h
+        part = plane[top // down : (top + step) // down]
+        return np.repeat(np.repeat(part, down, axis=0), across, axis=1)[: min(step, self.height - top), : self.width]
+
 
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, marker, len(body) + 2) + body
