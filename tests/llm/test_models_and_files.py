@@ -338,3 +338,42 @@ def test_licenses_match_brute_force(spark):
     out = sorted((r.doc_id, r.license or "", r.dice, r.n_segments, r.licenses) for r in licenses.report(frame(spark, texts)).collect())
     assert out == sorted((i, (b := brute_licenses(t))[0] or "", *b[1:]) for i, t in texts)
     assert licenses.report(frame(spark, texts).limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- long texts are taken in parts
+
+
+def test_parts_do_not_change_results(monkeypatch):
+    from usagemill.llm import simhash
+
+    text = ("the Quick " * 700 + "é brown\tfox " * 900).encode()
+    whole = simhash.simhash(text)
+    blocks = simhash._blocks
+    monkeypatch.setattr(simhash, "_blocks", lambda t: blocks(t, 50))
+    assert simhash.simhash(text) == whole
+    assert simhash.simhash(b"one two") == simhash.simhash(b"one  two\n") != 0 and simhash.simhash(b" \n") == 0
+    payload = np.random.default_rng(2).integers(0, 256, 64 * 40_000).astype(np.uint8).tobytes()
+    image = jpeg.Image(jpeg.encode(payload))
+    rgb = image.rgb()
+    y, cb, cr = image.planes()
+    at = (image.height - 1, image.width - 1)
+    r = np.clip(((int(y[at]) << 16) + (1 << 15) + 91881 * (int(cr[at[0] // 2, at[1] // 2]) - 128)) >> 16, 0, 255)
+    assert rgb[at][0] == r and jpeg.payload_of(image) == payload
+
+
+def test_long_documents_are_encoded_in_slices(monkeypatch):
+    texts = [b"ab cd " * 800, b"", b"x" * 512, b"word " * 300]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    x, bags = quality.encode(data, offsets)
+    monkeypatch.setattr(quality, "SLICE", 1024)
+    y, more = quality.encode(data, offsets)
+    assert bags.tolist() == more.tolist() == [10, 1, 1, 3]
+    assert x.shape == y.shape and np.abs(x - y).max() < 0.2
+
+
+def test_long_texts_of_a_language(monkeypatch):
+    space = language.Space(64)
+    text = "the cat sat on the mat " * 500
+    whole = space.bundle(text)
+    monkeypatch.setattr(language, "CHUNK", 300)
+    assert float(whole @ space.bundle(text)) > 0.99

@@ -74,7 +74,7 @@ def _least(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (key[:n] & np.uint64((1 << _INDEX) - 1)).astype(np.int64), h
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
+def _parts(data: np.ndarray, length: int):
     """(first byte, bytes, ends of documents by byte) of stretches of about _PIECE bytes that hold every window once."""
     n = len(data)
     for at in range(0, max(0, n - length + 1), _PIECE):
@@ -84,12 +84,13 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     """(first byte, place of each window's anchor, whether the window is inside a document, hashes) for each part."""
-    sizes = np.diff(offsets)
-    ends = np.repeat(offsets[1:], sizes)
-    for at, part, n in _parts(data, offsets, length):
+    for at, part, n in _parts(data, length):
         place, h = _least(part[: n + 8], length)
         place, windows = place[: n - length + 1], n - length + 1
-        inside = np.arange(at, at + windows) + length <= ends[at : at + windows]
+        inside = np.ones(windows, bool)
+        first, last = np.searchsorted(offsets, (at, at + n), side="left")
+        for end in offsets[first : last + 1].tolist():  # windows that reach past a document's end
+            inside[max(0, end - length + 1 - at) : max(0, end - at)] = False
         yield at, place, inside, h
 
 
@@ -101,10 +102,8 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole):
                 data, offsets = buffers(batch.column(1))
-                ids, sizes = batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets)
-                of = np.repeat(np.arange(len(sizes)), sizes)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
                 seen = np.zeros(len(data), bool)
-                hashes = np.zeros(0, np.int64)
                 for at, place, inside, h in anchors(data, offsets, length):
                     mark = np.zeros(len(h), bool)
                     mark[place[inside]] = True
@@ -113,7 +112,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     seen[at + found] = True
                     spot = at + found
                     hashes = h[found].view(np.int64)
-                    doc = of[spot]
+                    doc = np.searchsorted(offsets, spot, side="right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[doc]), pa.array((spot - offsets[doc]).astype(np.int32))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
@@ -136,7 +135,7 @@ def _stretches(marked: DataFrame, length: int) -> DataFrame:
                 count = np.diff(marks.offsets.to_numpy())
                 flag = np.zeros(len(data), np.uint8)
                 flag[np.repeat(offsets[:-1], count) + (flat >> 1)] = 1 + (flat & 1)
-                ids, of = batch.column(0).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for at, place, inside, h in anchors(data, offsets, length):
                     kind = np.where(inside, flag[at + place], 0)
                     edge = np.concatenate(([True], (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])))
@@ -150,7 +149,7 @@ def _stretches(marked: DataFrame, length: int) -> DataFrame:
                         ends = np.cumsum(size)
                         raw = data[np.arange(ends[-1]) + np.repeat(at + s - (ends - size), size)]
                         text = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(raw)])
-                        doc = of[at + s]
+                        doc = np.searchsorted(offsets, at + s, side="right") - 1
                         cols = [h[place[s]].view(np.int64), kind[s] == 2, ids[doc], (at + s - offsets[doc]).astype(np.int32), c.astype(np.int32), (place[s] - s).astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, cols), text], schema=schema)
 
@@ -269,11 +268,11 @@ def _kept(cut: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for k, ident in enumerate(batch.column(0).to_pylist()):
                     own = data[offsets[k] : offsets[k + 1]]
-                    edge = np.zeros(len(own) + 1, np.int64)
+                    edge = np.zeros(len(own) + 1, np.int32)
                     s, c = starts[ends[k] - ends[0] : ends[k + 1] - ends[0]], n[ends[k] - ends[0] : ends[k + 1] - ends[0]]
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + c - 1 + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
                     kept = own[~gone].tobytes()
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     rows.append((ident, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
