@@ -538,3 +538,50 @@ def status_line(spark, sf_dir):
     none = F.lit(None).cast("double")
     line = output.status_line(F.lit("m"), none, F.col("d"), F.col("c"), F.lit(20), none, F.lit(1500), F.lit(10_000))
     return today.crossJoin(live).select(line.alias("line"))  # two one-row aggregates
+
+
+# ---------------------------------------------------------------- order, filters and output
+
+
+@query(f"WITH {o.USAGE} SELECT file_path, min(ts) AS file_ts, row_number() OVER (ORDER BY min(ts) NULLS LAST, file_path) AS place FROM usage GROUP BY file_path")
+def file_order(spark, sf_dir):
+    files = samples.usage(spark, sf_dir).groupBy("file_path").agg(F.min("ts").alias("file_ts"))
+    return files.select("file_path", "file_ts", F.row_number().over(Window.orderBy(F.col("file_ts").asc_nulls_last(), "file_path")).cast("long").alias("place"))
+
+
+@query(f"WITH {o.costed()} SELECT coalesce(model, 'none') AS model, count(*) AS n FROM costed GROUP BY 1")
+def display_models(spark, sf_dir):
+    return costed(spark, sf_dir).groupBy(F.coalesce("model", F.lit("none")).alias("model")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {o.costed()} SELECT project, count(*) AS entries, count(*) FILTER (model = '<synthetic>') AS synthetic, string_agg(DISTINCT model, ',' ORDER BY model) FILTER (model <> '<synthetic>') AS models_used FROM costed GROUP BY project")
+def synthetic_rows(spark, sf_dir):
+    rows = costed(spark, sf_dir)
+    counts = rows.groupBy("project").agg(F.count("*").alias("entries"), F.count_if(F.col("model") == reports.SYNTHETIC).alias("synthetic"))
+    used = reports.models_used(rows, ["project"]).select(F.col("project").alias("_p"), F.array_join(F.sort_array("models_used"), ",").alias("models_used"))
+    return counts.join(used, F.col("project") == F.col("_p")).drop("_p")
+
+
+@query(f"WITH {o.costed()} SELECT to_json(struct_pack(date := {o.DAY}, inputTokens := sum(input_tokens)::BIGINT, outputTokens := sum(output_tokens)::BIGINT))::VARCHAR AS value FROM costed GROUP BY {o.DAY}")
+def json_report(spark, sf_dir):
+    return output.json_lines(reports.daily(costed(spark, sf_dir)).select("date", "input_tokens", "output_tokens"))
+
+
+@query(f"WITH {o.DEDUP} SELECT 'roots' AS kind, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens FROM dedup")
+def union_roots(spark, sf_dir):
+    """Two roots that share requests: union first, dedupe after."""
+    rows = samples.usage(spark, sf_dir)
+    both = rows.where("user_id % 2 = 0").unionByName(rows.where("user_id % 2 = 1"))
+    return dedupe.first_request(both).agg(F.lit("roots").alias("kind"), F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("SELECT p_partkey, (least(100, greatest(0, floor(p_retailprice * 200 / 2000 + 0.5))))::BIGINT AS percent FROM part")
+def context_percent(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", output.context_percent(F.col("p_retailprice") * 2, F.lit(2000)).cast("long").alias("percent"))
+
+
+@query(f"WITH {o.costed()} SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06') AS straddling FROM costed")
+def filter_after_dedupe(spark, sf_dir):
+    """The date filter stays above the dedupe: a duplicate of an earlier day is gone, not revived."""
+    rows = costed(spark, sf_dir)
+    return rows.where(dates.in_range(dates.day_key(F.col("ts")), "20240105", "20240105")).agg(F.count("*").alias("straddling"))
