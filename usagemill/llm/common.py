@@ -68,10 +68,16 @@ def joined_stats(big: DataFrame, stats: DataFrame, key: str, how: str = "inner",
     if stats.limit(most + 1).count() <= most:
         return big.join(F.broadcast(other), same, how).drop("_key")
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:2]), F.lit(salts)))
-    other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    other = other.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(other, same & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """Rows of text are large: fewer of them go to a Python worker at a time, for the rest of the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets into them; nulls count as empty."""
     column = pc.fill_null(column, "")
