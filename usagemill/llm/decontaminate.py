@@ -42,7 +42,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     A document word inside any occurrence of a window is hit; share * n_hit >= n_words contaminates if n_hit > 0. Null
     or wordless texts on either side have no windows. Repeated rows each get a row; equal items with different ids
     all count. Empty tables give empty results or zero hits. sig is a hash of the text, which tells apart rows that
-    repeat a doc_id with another text.
+    repeat a doc_id with another text; a row without doc_id is judged like any other.
     """
     each = staged(windows(items, width), "windows")
     text = F.col("text").cast("string")
@@ -53,25 +53,25 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     # A window with a word that no document has can't occur.
     fits = ranked.groupBy("win").agg(F.min(F.struct("n", "word", "at")).alias("x"), F.count("*").alias("k"), F.first("len").alias("len")).where("k = len")
     prefix = staged(fits.select("win", "len", F.col("x.word").alias("word"), F.col("x.at").alias("at")), "prefixes")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("sig"), text.alias("text"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
     # Each document's words are led by an empty one, whose row carries the count of words past the join.
-    split = rows.select("doc_id", "sig", words(F.col("text")).alias("w"))
-    placed = split.select("doc_id", "sig", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    split = rows.select("doc_id", "_id", "sig", words(F.col("text")).alias("w"))
+    placed = split.select("doc_id", "_id", "sig", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
     met = placed.join(_small(prefix), "word", "left").withColumn("from", F.col("pos") - 1 - F.col("at")).where("pos = 0 or from >= 0 and from + len <= n_words")
-    met = staged(met.select("doc_id", "sig", "n_words", "win", "from", "len"), "met")
-    guesses = met.where("win is not null").drop("n_words").distinct()
+    met = staged(met.select("doc_id", "_id", "sig", "n_words", "win", "from", "len"), "met")
+    guesses = met.where("win is not null").drop("doc_id", "n_words").distinct()
     hits = staged(_verified(rows, guesses, each), "hits")
-    counted = met.where("win is null").select("doc_id", "sig", F.col("n_words").cast("long").alias("n_words"))
-    keys = ["doc_id", "sig"]
+    counted = met.where("win is null").select("doc_id", "_id", "sig", F.col("n_words").cast("long").alias("n_words"))
+    keys = ["_id", "sig"]
     n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
-    out = counted.join(hits, keys, "left").select(*keys, "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"))
+    out = counted.join(hits, keys, "left").select("doc_id", "sig", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"))
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    return out.select(*keys, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
+    return out.select("doc_id", "sig", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", bad.alias("contaminated"))
 
 
 def _verified(rows: DataFrame, guesses: DataFrame, each: DataFrame) -> DataFrame:
-    """(doc_id, sig, n_hit, items) of the guesses whose words are those of the window."""
-    keys = ["doc_id", "sig"]
+    """(_id, sig, n_hit, items) of the guesses whose words are those of the window; _id is a hash of doc_id."""
+    keys = ["_id", "sig"]
     by_row = guesses.groupBy(*keys).agg(F.collect_list(F.struct("win", "from", "len")).alias("guess"))
     own = rows.join(by_row, keys).dropDuplicates(keys).select(*keys, words(F.col("text")).alias("w"), "guess")
     cut = F.transform("guess", lambda g: F.struct(g["win"].alias("win"), g["from"].alias("from"), F.array_join(F.slice("w", g["from"] + 1, g["len"]), " ").alias("said")))

@@ -55,9 +55,9 @@ def template_table(spark: SparkSession, templates=TEMPLATES, least: float = LEAS
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(doc_id, sig, segment, license, template, dice) of every segment that reaches ``least`` with a template.
+    """(_id, sig, segment, license, template, dice) of every segment that reaches ``least`` with a template.
 
-    Segments are numbered: lines first, then paragraphs of several lines. The list of templates is an argument held by the
+    _id and sig are hashes of doc_id (which may be null) and text. Segments are numbered: lines first, then paragraphs of several lines. The list of templates is an argument held by the
     driver, so its table may be broadcast. A null text has no segments.
     """
     text = F.col("text").cast("string")
@@ -65,13 +65,13 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataF
     sizes = known.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
     # Every different word but the first ends some bigram, so bigrams are at least the different words less one.
     paragraphs = F.filter(F.split(text, r"\r?\n[\x20\t]*\r?\n"), lambda p: p.contains("\n"))
-    rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("sig"), F.posexplode(F.concat(F.split(text, r"\r?\n"), paragraphs)).alias("segment", "line"))
-    said = rows.select("doc_id", "sig", "segment", words(F.col("line")).alias("w")).where(F.size("w") >= (sizes["lo"] or 0))
+    rows = docs.where(text.isNotNull()).select(F.xxhash64("doc_id").alias("_id"), F.xxhash64(text).alias("sig"), F.posexplode(F.concat(F.split(text, r"\r?\n"), paragraphs)).alias("segment", "line"))
+    said = rows.select("_id", "sig", "segment", words(F.col("line")).alias("w")).where(F.size("w") >= (sizes["lo"] or 0))
     said = said.where(F.size(F.array_distinct("w")) - 1 <= (sizes["hi"] or 0))
-    cut = said.select("doc_id", "sig", "segment", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own"))
+    cut = said.select("_id", "sig", "segment", bigrams(F.col("w")).alias("own")).withColumn("n", F.size("own"))
     both = cut.join(F.broadcast(known), "n")
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
-    return both.select("doc_id", "sig", "segment", "license", "template", dice.alias("dice")).where(F.col("dice") >= least)
+    return both.select("_id", "sig", "segment", "license", "template", dice.alias("dice")).where(F.col("dice") >= least)
 
 
 def report(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -80,8 +80,8 @@ def report(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFr
     Without a match license is null, dice 0 and licenses empty. Repeated rows each get a row.
     """
     best = F.struct((-F.col("dice")).alias("d"), "segment", "template", "license")
-    found = matches(docs, templates, least).groupBy("doc_id", "sig").agg(F.min(best).alias("b"), F.count_distinct("segment").alias("n"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
-    found = found.select("doc_id", "sig", F.col("b.license").alias("license"), F.round(-F.col("b.d"), 6).alias("dice"), "n", "licenses")
-    ids = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("sig"))
-    out = ids.join(found, ["doc_id", "sig"], "left")
+    found = matches(docs, templates, least).groupBy("_id", "sig").agg(F.min(best).alias("b"), F.count_distinct("segment").alias("n"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
+    found = found.select("_id", "sig", F.col("b.license").alias("license"), F.round(-F.col("b.d"), 6).alias("dice"), "n", "licenses")
+    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("sig"))
+    out = ids.join(found, ["_id", "sig"], "left")
     return out.select("doc_id", "license", F.coalesce("dice", F.lit(0.0)).alias("dice"), F.coalesce("n", F.lit(0)).cast("long").alias("n_segments"), F.coalesce("licenses", F.lit("")).alias("licenses"))
