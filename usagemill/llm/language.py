@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Places of a vector.
 WIDTH = 512
 #: Characters of a text that are taken at a time.
@@ -122,7 +124,7 @@ def prototypes(labelled: DataFrame, width: int = WIDTH, most_labelled: int = MOS
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = labelled.mapInArrow(run, "lang string, v array<long>")
+    parts = small_batches(labelled).mapInArrow(run, "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
     rows = sums.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
@@ -157,4 +159,4 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], width: int = WIDTH
             frame = pd.DataFrame(said, columns=["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frame.lang_pred, pa.string()), pa.array(frame.score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import small_batches
 
 #: Bytes of a row batch that a worker hands on.
 BATCH = 2_000_000
@@ -16,12 +17,6 @@ STORED = "doc_id long, n_bytes long, media binary"
 READ = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string"
 
 
-def _small_batches(df: DataFrame) -> DataFrame:
-    """Rows of media are large: fewer of them go to a worker at a time, for the rest of the session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    return df
-
-
 def _batched(rows, schema: pa.Schema):
     held, size = [], 0
     for row in rows:
@@ -50,7 +45,7 @@ def store(docs: DataFrame, unit: int = 64) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return _small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
+    return small_batches(docs, ROWS).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
 
 
 def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
@@ -69,7 +64,7 @@ def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
 
         yield from _batched(rows(), schema)
 
-    return _small_batches(stored).select("doc_id", "n_bytes", "media").mapInArrow(run, READ + ", rgb binary" * tensors)
+    return small_batches(stored, ROWS).select("doc_id", "n_bytes", "media").mapInArrow(run, READ + ", rgb binary" * tensors)
 
 
 def feature(rgb) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, pieces
+from .common import buffers, pieces, small_batches
 
 PASSAGE = 512
 #: Bytes that are encoded at a time; a multiple of PASSAGE.
@@ -191,7 +191,7 @@ def _features(docs: DataFrame, extra: str) -> DataFrame:
                 raw = [x[e - n : e].tobytes() for e, n in zip(ends, bags)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.int32()), pa.array(raw, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", extra, "text").mapInArrow(run, f"doc_id long, {extra} int, n int, x binary")
+    return small_batches(docs).select("doc_id", extra, "text").mapInArrow(run, f"doc_id long, {extra} int, n int, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_passages: int = MOST_PASSAGES) -> Model:
@@ -221,4 +221,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x, bags = encode(*buffers(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(model.score(x, bags), 0.0, 1.0).astype(np.float64))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
