@@ -81,6 +81,12 @@ def test_suffix_dedup_of_a_long_text(spark, monkeypatch):
     assert out[3][2:4] == (70_000 * 18, 1)
 
 
+def test_suffix_dedup_without_ids(spark):
+    text = "a long enough text that occurs three times " * 5
+    out = suffixes.dedup(frame(spark, [(None, text), (1, text), (2, text), (None, text), (None, None)])).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed > 0) for r in out) == [(-1, 0, False), (-1, len(text), False), (-1, len(text), False), (1, len(text), True), (2, len(text), True)]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.dedup(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
@@ -335,8 +341,9 @@ def test_licenses_match_brute_force(spark):
     texts += [(50 + i, t.replace(" ", "\n", 1)) for i, t in enumerate(names)]
     texts += [(90, None), (91, ""), (92, "Licensed under CC BY 4.0, you see."), (93, "mit license " * 30_000), (94, names[0] + "\r\n" + names[2]), (94, names[0]), (94, names[0])]
     texts += [(95, "x\n\n" + names[5].replace("free", "paid").replace(" the ", "\nthe ") + "\n \t\ny")]
-    out = sorted((r.doc_id, r.license or "", r.dice, r.n_segments, r.licenses) for r in licenses.report(frame(spark, texts)).collect())
-    assert out == sorted((i, (b := brute_licenses(t))[0] or "", *b[1:]) for i, t in texts)
+    texts.append((None, names[1]))
+    out = sorted((r.doc_id or -1, r.license or "", r.dice, r.n_segments, r.licenses) for r in licenses.report(frame(spark, texts)).collect())
+    assert out == sorted((i or -1, (b := brute_licenses(t))[0] or "", *b[1:]) for i, t in texts)
     assert licenses.report(frame(spark, texts).limit(0)).count() == 0
 
 

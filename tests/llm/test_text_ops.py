@@ -198,6 +198,18 @@ def test_secrets_match_brute_force(spark):
     assert [x.split(":")[0] for x in out[8].spans.split(",")] == ["weak_secret", "endpoint"]
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    import time
+
+    text = "é deadbeefdeadbeef token=abcdefghijkl " * 20_000
+    began = time.time()
+    r = secrets.secret_report(frame(spark, [(1, text)])).first()
+    assert time.time() - began < 60
+    said = brute_secrets(text)
+    assert (r.n_hex, r.n_assign) == (20_000, 20_000)
+    assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest() and r.spans == ",".join(said)
+
+
 def test_redaction(spark):
     docs = frame(spark, [(0, "é key token=abcdefghijklmno and deadbeefdeadbeef!"), (1, "clean"), (2, None)])
     found = secrets.scan(docs).drop("row").join(docs.select("doc_id", "text"), "doc_id")

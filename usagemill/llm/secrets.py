@@ -33,12 +33,24 @@ NEEDS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",
 SCOPE = 200
 
 
-def spans(text: Column, kind: int, pattern: str, test: str | None, group: int, least: int) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches whose group is long enough."""
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Matches that a fold takes at a time; folds copy what they have gathered.
+CHUNK = 256
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def spans(text: Column, kind: int, pattern: str, test: str | None, group: int, least: int, chunk: int = CHUNK) -> Column:
+    """array<struct<start, kind, end>> of the leftmost non-overlapping matches whose group is long enough.
+
+    Positions are running sums of the lengths of pieces and matches: first over chunks of matches, then within each.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.transform(found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
     sizes = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.transform(found, F.char_length).alias("len"), counted.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -46,9 +58,21 @@ def spans(text: Column, kind: int, pattern: str, test: str | None, group: int, l
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["counted"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    def placed(items, begin):
+        return F.aggregate(items, F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    def whole(items):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / chunk).cast("int")), lambda k: F.slice(items, k * chunk + 1, chunk))
+        return F.when(F.size(items) <= chunk, placed(items, F.lit(0))).otherwise(_let(chunks, many))
+
+    def many(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"]))
+        begins = F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t)))
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), F.slice(begins, F.lit(1), F.size(chunks)).alias("b")), lambda x: placed(x["c"], x["b"])))
+
     # The last piece follows the last match and has none of its own.
-    whole = F.aggregate(F.filter(sizes, lambda x: x["len"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(test or pattern), whole).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    matched = _let(F.filter(sizes, lambda x: x["len"].isNotNull()), whole)
+    return F.when(text.rlike(test or pattern), matched).otherwise(F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, joined_stats, pieces, release, staged
+from .common import buffers, joined_stats, pieces, release, small_batches, staged
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -115,7 +115,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     doc = np.searchsorted(offsets, spot, side="right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[doc]), pa.array((spot - offsets[doc]).astype(np.int32))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
 
 
 def _stretches(marked: DataFrame, length: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _stretches(marked: DataFrame, length: int) -> DataFrame:
                         cols = [h[place[s]].view(np.int64), kind[s] == 2, ids[doc], (at + s - offsets[doc]).astype(np.int32), c.astype(np.int32), (place[s] - s).astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, cols), text], schema=schema)
 
-    return marked.select("doc_id", "text", "marks").mapInArrow(run, "h long, hot boolean, doc_id long, start int, n int, off int, bytes binary")
+    return small_batches(marked).select("doc_id", "text", "marks").mapInArrow(run, "h long, hot boolean, doc_id long, start int, n int, off int, bytes binary")
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -278,7 +278,7 @@ def _kept(cut: DataFrame, length: int) -> DataFrame:
                     rows.append((ident, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return cut.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return small_batches(cut).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BLOCK, most: int = MOST) -> DataFrame:
@@ -287,7 +287,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     A byte is removed if a ``length``-byte string that covers it also starts earlier (at a smaller doc_id, or earlier in the
     document). A null text is empty; texts shorter than ``length`` are kept. Equal rows are one document. Of rows that
     share a doc_id but not the text, the one with the smallest SHA-256 takes part, and the others are kept whole.
-    An empty table gives an empty result.
+    So is a row without doc_id, which has no place in the order. An empty table gives an empty result.
     """
     if length < K + PERIOD:
         raise ValueError(f"length must be {K + PERIOD} at least")
@@ -298,7 +298,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     # Whole copies never enter the sort: all of their bytes start earlier.
     first = own.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
     copies = staged(joined_stats(own.select("doc_id", "sha"), first, "sha").where("doc_id <> first").select("doc_id"), "copies")
-    rows = staged(_anchor_rows(texts.where(F.octet_length("text") >= length), length), "anchors")
+    rows = staged(_anchor_rows(texts.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()), length), "anchors")
     # Written, so that the join has a shuffle on either side and a frequent anchor's rows can be split.
     often = staged(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "often")
     marks = rows.join(often, "h").select("doc_id", (F.col("pos").cast("long") * 2 + (F.col("m") > hot).cast("long")).alias("mark"))
