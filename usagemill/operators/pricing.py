@@ -41,7 +41,7 @@ def priced(rows: DataFrame, prices: DataFrame, prefixes: tuple = PREFIXES) -> Da
     exactly is worked out from the price table, which is broadcast with one more row for the inexact search. That search
     runs for rows without an exact match only.
     """
-    table = _bounded(prices)
+    table = _bounded(prices).coalesce(1)  # a bounded table needs no shuffle
     price = F.struct(F.col("name").alias("price_name"), *PRICE_COLUMNS, "max_input_tokens", "fast")
     # A price is found by its own name (rank 0), or by what follows the k-th prefix (rank k).
     keys = [F.struct(F.lit(0).alias("rank"), F.col("name").alias("key"))]
