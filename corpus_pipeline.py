@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import decontaminate, mixing, quality, secrets, simhash
+from usagemill.llm import decontaminate, mixing, near_copies, quality, secrets
 from usagemill.llm.common import crc_of_id, staged, table
 
 
@@ -18,6 +18,12 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(other, F.col("doc_id").eqNullSafe(F.col("_doc_id")), how)
 
 
+def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs whose doc_id and text hash are (left_semi) or aren't (left_anti) among rows (doc_id, sig); a null doc_id matches a null one."""
+    other = rows.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_sig"))
+    return docs.join(other, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (near_copies.text_hash() == F.col("_sig")), how)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below its threshold; it learns from the labels of docs that aren't held out.
 
@@ -30,15 +36,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class: the one with the smallest doc_id.
+    """Keeps one document of each class of near copies (similarity of 5-word shingles 0.8 or more): the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are reduced to one.
+    Rows that repeat that doc_id with the same text are reduced to one; with another text they are documents of their own.
     """
-    near = simhash.near_duplicates(docs)
-    copies = staged(near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "copies")
-    rest = _by_id(docs, copies, "left_anti")
-    repeated = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    return rest if not repeated.limit(1).count() else rest.dropDuplicates(["doc_id"])
+    rest = _by_text(docs, staged(near_copies.copies(docs), "copies"), "left_anti")
+    keys = docs.select("doc_id", near_copies.text_hash().alias("_sig"))
+    repeated = staged(keys.groupBy("doc_id", "_sig").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    return rest if not repeated.limit(1).count() else rest.withColumn("_sig", near_copies.text_hash()).dropDuplicates(["doc_id", "_sig"]).drop("_sig")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
