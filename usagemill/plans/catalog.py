@@ -143,6 +143,14 @@ def project_map(spark, sf_dir):
     return rows.groupBy("project").agg(F.array_join(F.sort_array(F.collect_list(told)), ";").alias("rows"))
 
 
+@query(f"WITH {o.costed()}, d AS (SELECT coalesce(project, 'unknown') AS project, {o.DAY} AS date, {o.SUMS}, {o.TOTAL} FROM costed GROUP BY ALL) SELECT project, string_agg(concat_ws(' ', date, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens), ';' ORDER BY date) AS rows, round(sum(cost), 6) AS cost FROM d GROUP BY project")
+def project_daily_map(spark, sf_dir):
+    rows = costed(spark, sf_dir).withColumn("project", F.coalesce("project", F.lit("unknown")))
+    days = reports.daily(rows, by_project=True)
+    told = F.concat_ws(" ", "date", *[F.col(c).cast("string") for c in (*reports.TOKENS, "total_tokens")])
+    return days.groupBy("project").agg(F.array_join(F.sort_array(F.collect_list(told)), ";").alias("rows"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
 # ---------------------------------------------------------------- dedupe, prices and cost
 
 
