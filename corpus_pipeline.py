@@ -12,12 +12,6 @@ from usagemill.llm import decontaminate, mixing, near_copies, quality, secrets
 from usagemill.llm.common import crc_of_id, staged, table
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) among ids; a null doc_id matches a null one."""
-    other = ids.select(F.col("doc_id").alias("_doc_id"))
-    return docs.join(other, F.col("doc_id").eqNullSafe(F.col("_doc_id")), how)
-
-
 def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """docs whose doc_id and text hash are (left_semi) or aren't (left_anti) among rows (doc_id, sig); a null doc_id matches a null one."""
     other = rows.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_sig"))
@@ -27,12 +21,12 @@ def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below its threshold; it learns from the labels of docs that aren't held out.
 
-    Rows that share a doc_id stay or go together: they go if any of them is rejected.
+    Rows that share a doc_id, or have none, are judged by their own texts.
     """
     held = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held))
-    rejected = staged(quality.score(docs, model).where(F.col("score") < quality.THRESHOLD).select("doc_id").distinct(), "rejected")
-    return _by_id(docs, rejected, "left_anti")
+    rejected = staged(quality.score(docs, model).where(F.col("score") < quality.THRESHOLD).select("doc_id", "sig").distinct(), "rejected")
+    return _by_text(docs, rejected, "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +43,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the benchmark contaminates."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = staged(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return _by_id(docs, bad, "left_anti")
+    bad = staged(found.where("contaminated").select("doc_id", "sig").distinct(), "contaminated")
+    return _by_text(docs, bad, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret span by a mask; n_chars follows the text. Documents without secrets are left alone."""
-    found = staged(secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("spans").alias("_spans")).dropDuplicates(["_doc_id"]), "secrets")
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").drop("_doc_id")
+    found = secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_sig"), F.col("spans").alias("_spans"))
+    found = staged(found.dropDuplicates(["_doc_id", "_sig"]), "secrets")
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (near_copies.text_hash() == F.col("_sig")), "left").drop("_doc_id", "_sig")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -213,12 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row; a null text is scored as an empty one."""
+    """(doc_id, sig, score) for every row; a null text is scored as an empty one. sig, a hash of the text, tells apart rows that share a doc_id."""
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole):
-                x, bags = encode(*buffers(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(model.score(x, bags), 0.0, 1.0).astype(np.float64))], names=["doc_id", "score"])
+                x, bags = encode(*buffers(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(model.score(x, bags), 0.0, 1.0).astype(np.float64))], names=["doc_id", "sig", "score"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    text = F.col("text").cast("string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text")).mapInArrow(run, "doc_id long, sig long, score double")

@@ -76,13 +76,13 @@ def spans(text: Column, kind: int, pattern: str, test: str | None, group: int, l
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, doc_id, spans) with every base span and every linked weak span, ordered by start, then kind.
+    """(row, doc_id, sig, base, spans) with every base span and every linked weak span, ordered by start, then kind.
 
-    A null text counts as empty. Repeated rows each get a row: ``row`` tells them apart. Positions are code points.
+    A null text counts as empty. Repeated rows each get a row: ``row`` tells them apart, and sig, a hash of the text. Positions are code points.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kinds = [(k, *x[1:]) for k, x in enumerate(BASE)] + [(len(BASE) + k, x[2], None, x[3], x[4]) for k, x in enumerate(WEAK)]
-    found = staged(docs.select("doc_id", text.alias("text")).select("doc_id", F.concat(*[spans(F.col("text"), *x) for x in kinds]).alias("found")).withColumn("row", F.monotonically_increasing_id()), "spans")
+    found = staged(docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("sig"), text.alias("text")).select("doc_id", "sig", F.concat(*[spans(F.col("text"), *x) for x in kinds]).alias("found")).withColumn("row", F.monotonically_increasing_id()), "spans")
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
     names = [x[0] for x in BASE] + [x[0] for x in WEAK]
     part = [PARTS.get(n) or next(x[1] for x in WEAK if x[0] == n) for n in names]
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = weak.groupBy("row", "start", "kind", "end").agg(F.lit(1).alias("one")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     both = found.join(linked, "row", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return both.select("row", "doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", empty))).alias("spans"))
+    return both.select("row", "doc_id", "sig", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", empty))).alias("spans"))
 
 
 def written(found: Column) -> Column:
