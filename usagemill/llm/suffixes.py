@@ -8,10 +8,13 @@ that occur more than once travel at all.
 A block of buckets is sorted at a time. Stretches are laid out with their anchors at multiples of the cover's period;
 the sample positions, whose residues form a difference cover, are ranked first. Suffixes are sorted by their first
 PERIOD bytes; longer ties are resolved by the rank of the sample suffix within reach, and the few last bytes. Since
-equal windows have equal residues, one look-up serves all of a tie. Memory is bounded by the block.
+equal windows have equal residues, one look-up serves all of a tie. A block takes its buckets in turn, some BLOCK
+windows at a time, and no bucket holds more than that, so memory is bounded.
 
-The stretches of a frequent anchor are first reduced to different ones by a partial aggregate. An anchor that still has
-too many for a block is not brought into one: its windows are grouped by digest.
+Equal stretches of a frequent anchor are first reduced to one by a partial aggregate over their bytes. A bucket that
+still has too many windows is split: windows at distances lo to hi from the anchor all hold the same bytes around it,
+their core, and a half of these distances has a longer core, whose hash names a smaller bucket. At one distance the
+core is the window itself. Equal windows share every core, so splitting changes no result; bytes decide throughout.
 """
 
 from __future__ import annotations
@@ -34,10 +37,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Occurrences of an anchor beyond which equal stretches are reduced to one first.
 HOT = 200
-#: Different stretches of an anchor that a block takes.
-MOST = 20_000
-#: Stretches of text in a block, on average.
-BLOCK = 8000
+#: Windows that are sorted at a time, that a bucket may hold, and in a block on average.
+BLOCK = 200_000
 
 assert {(a - b) % PERIOD for a, b in product(COVER, COVER)} == set(range(PERIOD))
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -217,41 +218,66 @@ def later_windows(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarr
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _sorted_blocks(cold: DataFrame, blocks: int, length: int) -> DataFrame:
-    """(doc_id, start, n) runs of windows that occur earlier, for buckets that fit into a block."""
+def _sorted_blocks(cold: DataFrame, blocks: int, block: int, length: int) -> DataFrame:
+    """(doc_id, start, n) runs of windows that occur earlier; the buckets of a block are sorted some ``block`` windows at a time."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("h").to_numpy(), kind="stable"))).combine_chunks()
         h, doc, start, n, off = (table.column(k).to_numpy() for k in ("h", "doc_id", "start", "n", "off"))
-        found = later_windows(h, doc, start, n, off, table.column("bytes").to_pylist(), length)
-        return pa.Table.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))], schema=schema)
-
-    block = F.pmod(F.xxhash64("h"), F.lit(blocks))
-    return cold.withColumn("block", block).groupBy("block").applyInArrow(run, "doc_id long, start int, n int")
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))  # of buckets
+        windows, at, found = np.cumsum(n.astype(np.int64)), 0, []
+        while at < len(h):
+            most = (windows[at - 1] if at else 0) + block
+            k = int(np.searchsorted(windows[ends - 1], most, side="right")) - 1
+            end = int(max(ends[max(k, 0)], ends[np.searchsorted(ends, at, side="right")]))
+            own = slice(at, end)
+            found.append(later_windows(h[own], doc[own], start[own], n[own], off[own], table.column("bytes").slice(at, end - at).to_pylist(), length))
+            at = end
+        doc, start, n = (np.concatenate([x[k] for x in found]) for k in range(3))
+        return pa.Table.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema=schema)
+
+    numbered = cold.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
+    return numbered.groupBy("block").applyInArrow(run, "doc_id long, start int, n int")
 
 
 def _different(frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first of equal stretches, by a 128-bit digest, and (doc_id, start, n) of the others.
+    """The first of equal stretches, and (doc_id, start, n) of the others.
 
     The first is taken with a partial aggregate, so that copies meet in no task.
     """
-    digests = [F.xxhash64("bytes").alias("a"), F.xxhash64(F.lit(1), "bytes").alias("b")]
-    first = F.min(F.struct("doc_id", "start", "n", "off", "h", "bytes")).alias("f")
-    leads = staged(frequent.select("*", *digests).groupBy("a", "b").agg(first).select("a", "b", "f.*"), "leads")
-    ids = leads.select("a", "b", F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
-    copies = frequent.select("doc_id", "start", "n", *digests).join(ids, ["a", "b"]).where("doc_id <> _doc or start <> _start")
-    return leads.select("h", "doc_id", "start", "n", "off", "bytes"), copies.select("doc_id", "start", "n")
+    rest = [c for c in frequent.columns if c not in ("doc_id", "start", "bytes")]
+    leads = staged(frequent.groupBy("bytes").agg(F.min(F.struct("doc_id", "start", *rest)).alias("f")).select("f.*", "bytes"), "leads")
+    ids = leads.select(F.col("bytes").alias("_bytes"), F.col("doc_id").alias("_doc"), F.col("start").alias("_start"))
+    # leads is written, so that the join has a shuffle on either side and the rows of frequent bytes can be split.
+    copies = frequent.select("doc_id", "start", "n", "bytes").join(ids, F.col("bytes") == F.col("_bytes")).where("doc_id <> _doc or start <> _start")
+    return leads, copies.select("doc_id", "start", "n")
+
+
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """The rows' windows by halves of their buckets' distances lo to hi; h becomes the hash of the half's longer core."""
+    halves = F.array(F.struct(F.col("lo").alias("a"), F.expr("(lo + hi) div 2").cast("int").alias("z")), F.struct(F.expr("(lo + hi) div 2 + 1").cast("int").alias("a"), F.col("hi").alias("z")))
+    each = rows.select("*", F.explode(halves).alias("half")).select("*", "half.a", "half.z")
+    each = each.withColumn("i", F.greatest(F.lit(0), F.col("off") - F.col("z"))).withColumn("k", F.least(F.col("n") - 1, F.col("off") - F.col("a"))).where("a <= z and i <= k")
+    core = F.substring(F.col("bytes"), F.col("off") - F.col("a") + 1, F.lit(length) - F.col("z") + F.col("a"))
+    return each.select(
+        F.xxhash64("h", "a", core).alias("h"), F.col("a").alias("lo"), F.col("z").alias("hi"), "doc_id", (F.col("start") + F.col("i")).alias("start"),
+        (F.col("k") - F.col("i") + 1).alias("n"), (F.col("off") - F.col("i")).alias("off"), F.substring(F.col("bytes"), F.col("i") + 1, F.col("k") - F.col("i") + length).alias("bytes"),
+    )
 
 
-def _grouped_windows(huge: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n) of later windows among different stretches of an anchor that fits no block, grouped by a 128-bit digest."""
-    each = huge.select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    window = F.substring(F.col("bytes"), F.col("i") + 1, F.lit(length))
-    each = staged(each.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.xxhash64(window).alias("a"), F.xxhash64(F.lit(1), window).alias("b")), "windows")
-    heads = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m")
-    both = each.join(heads, ["a", "b"])
-    later = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start"))
-    return both.where(later).select("doc_id", "start", F.lit(1).alias("n"))
+def _split(rows: DataFrame, block: int, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stretches in buckets of at most ``block`` windows, and (doc_id, start, n) of those that were found equal to an earlier one."""
+    ready, others = [], []
+    rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(length - K)})
+    while True:
+        huge = staged(rows.groupBy("h").agg(F.sum("n").alias("w")).where(F.col("w") > block), "huge")
+        if not huge.limit(1).count():
+            return [*ready, rows], others
+        told = joined_stats(rows, huge, "h", "left")
+        ready.append(told.where("w is null").drop("w"))
+        rows, copies = _different(_halves(told.where("w is not null").drop("w"), length))
+        others.append(copies)
 
 
 def _kept(cut: DataFrame, length: int) -> DataFrame:
@@ -281,13 +307,15 @@ def _kept(cut: DataFrame, length: int) -> DataFrame:
     return small_batches(cut).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BLOCK, most: int = MOST) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     A byte is removed if a ``length``-byte string that covers it also starts earlier (at a smaller doc_id, or earlier in the
-    document). A null text is empty; texts shorter than ``length`` are kept. Equal rows are one document. Of rows that
-    share a doc_id but not the text, the one with the smallest SHA-256 takes part, and the others are kept whole.
-    So is a row without doc_id, which has no place in the order. An empty table gives an empty result.
+    document). A null text is empty; texts shorter than ``length`` are kept, and very long ones are taken in parts. Whole
+    copies of a text, found by SHA-256, are removed before any sorting: all of their bytes start earlier. Equal rows are
+    one document. Of rows that share a doc_id but not the text, the one with the smallest SHA-256 takes part, and the
+    others are kept whole. So is a row without doc_id, which has no place in the order. Other columns are not read,
+    whatever their names. An empty table gives an empty result.
     """
     if length < K + PERIOD:
         raise ValueError(f"length must be {K + PERIOD} at least")
@@ -309,14 +337,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, block: int = BL
     cold, more = parts.where("not hot").drop("hot"), []
     if parts.where("hot").limit(1).count():
         leads, others = _different(parts.where("hot").drop("hot"))
-        huge = staged(leads.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > most).select("h"), "huge")
-        more.append(others)
-        if huge.limit(1).count():
-            more.append(_grouped_windows(leads.join(huge, "h", "left_semi"), length))
-            leads = leads.join(huge, "h", "left_anti")
-        cold = cold.select(*leads.columns).unionByName(leads)
-    runs = _sorted_blocks(cold, max(1, cold.select("h").count() // block), length)
-    for other in more:
+        cold, more = cold.unionByName(leads), [others]
+    ready, others = _split(cold, block, length)
+    cold = ready[0]
+    for part in ready[1:]:
+        cold = cold.unionByName(part)
+    cold = cold.drop("lo", "hi")
+    windows = cold.agg(F.sum("n")).first()[0] or 0
+    runs = _sorted_blocks(cold, windows // block + 1, block, length)
+    for other in [*more, *others]:
         runs = runs.union(other)
     runs = staged(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
     release(marks, parts)
