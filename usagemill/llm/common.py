@@ -32,10 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver ends, if nothing has deleted it before."""
+    at, system = _path(spark, path)
+    system.deleteOnExit(at)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, so a lost executor costs no recomputation.
 
-    Once the table is written, the shuffle files that led to it are of no use and go at once.
+    Once the table is written, the shuffle files that led to it are of no use and go at once. The table goes with
+    release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +57,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
@@ -53,8 +66,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no plan to come reads."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._staged)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        at, system = _path(t.sparkSession, t._staged)
+        system.delete(at, True)
 
 
 def joined_stats(big: DataFrame, stats: DataFrame, key: str, how: str = "inner", most: int = 100_000, salts: int = 16) -> DataFrame:
@@ -72,9 +85,18 @@ def joined_stats(big: DataFrame, stats: DataFrame, key: str, how: str = "inner",
     return salted.join(other, same & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
 
 
-def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
-    """Rows of text are large: fewer of them go to a Python worker at a time, for the rest of the session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows that go to a Python worker at a time. Rows of text are large.
+ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands at most ROWS rows at a time to a Python worker from now on.
+
+    Spark takes the number when a plan runs and not when it is built, so it is the same for all operators.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
     return df
 
 
@@ -109,5 +131,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, low))
 
 
+def text_hash() -> Column:
+    """Tells apart rows that share a doc_id, or have none, with different texts."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -1,12 +1,17 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-A 64-bit fingerprint can't serve a similarity of 0.8: such pairs differ in about ten bits, which no affordable set of
-deletion variants reaches. Here each text is a set of hashed shingles in one global order, and two sets of similarity
-0.8 must share a shingle within their prefixes, the first n - ceil(0.8 n) + 1 shingles. Prefixes are joined by shingle,
-sizes and positions drop pairs that can't reach the threshold, and the rest is verified on the whole sets. The order
-puts shingles last that are frequent in a sample, which keeps groups small and never changes the result. A crowded
-group is compared with a leader: members like the leader are linked to it instead of to each other, and the triangle
-inequality of the Jaccard distance tells which pairs are left.
+"""Near copies by SimHash candidates: classes of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Pairs of that similarity differ in about ten of 64 bits of a fingerprint over shingles, which no affordable set of
+deletion variants reaches, since one changed word changes five shingles. Fingerprints are therefore taken over the
+different words of a text, have 256 bits, and are cut into eight segments; a pair is a candidate if some segment
+differs in at most one bit, that is, shares the segment or one of its one-wildcard variants. Candidates are joined by
+equality, dropped beyond FAR differing bits, and verified on their whole sets of shingles. This step is a search: what share
+of the similar pairs it finds is measured (README), not proven.
+
+The members of a variant that many fingerprints share aren't paired up. They are compared with each other by an exact
+join instead: two sets of similarity 0.8 share a shingle within their prefixes, the first n - ceil(0.8 n) + 1 shingles in an
+order that puts rare ones first. A shingle's sets are first compared with one leader, the set with the fewest
+shingles of its own. Since only classes are asked for, just sets of different classes are paired after that, if their
+sizes, less the shingles that no other set has, let them reach the threshold.
 """
 
 from __future__ import annotations
@@ -14,26 +19,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, staged
+from .common import pieces, release, small_batches, staged, text_hash
 from .components import components
-from .simhash import _LOWER, _blocks
+from .simhash import _LOWER, _blocks, shared_members, spread, variants
 
 WORDS = 5
 #: The least similarity is LEAST[0] / LEAST[1].
 LEAST = (4, 5)
-#: A shingle shared by more sets than this is compared with leaders, in at most ROUNDS rounds.
-CROWD = 64
-ROUNDS = 4
-#: Texts that the order is learned from, on average, and the most shingles that it puts last.
-SAMPLE = 5_000
-MOST_FREQUENT = 50_000
+#: Segments of a fingerprint, of 32 bits each, and the differing bits beyond which a candidate isn't verified.
+SEGMENTS = 8
+FAR = 48
+#: The members of a variant shared by more fingerprints aren't paired up.
+CROWD = 8
+#: Shingles up to which a set travels whole with each of its shingles.
+LONG = 2_000
 #: Rows up to which a counted table is broadcast.
 SMALL = 200_000
-#: Sets that a task remembers to have met.
-MOST_MET = 200_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -53,9 +57,21 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def text_hash() -> Column:
-    """Tells apart rows that share a doc_id, or have none, with different texts."""
-    return F.xxhash64(F.col("text").cast("string"))
+def word_print(text: bytes, segments: int = SEGMENTS) -> tuple[int, np.ndarray]:
+    """A hash of the sequence of lower-cased words, and the fingerprint of the set of words as signed 32-bit segments (zeros if there is none)."""
+    whole, seen, ones = xxhash.xxh64(seed=42), set(), np.zeros(32 * segments, np.int64)
+    rounds = -(-segments // 4)
+    for block in _blocks(text):
+        parts = block.translate(_LOWER).split()
+        if parts:
+            whole.update(b" ".join(parts) + b" ")
+        fresh = set(parts) - seen
+        seen |= fresh
+        fresh = list(fresh)
+        for i in range(0, len(fresh), 1 << 14):
+            raw = b"".join([xxhash.xxh3_128_digest(w, r) for w in fresh[i : i + (1 << 14)] for r in range(rounds)])
+            ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16 * rounds)[:, : 4 * segments], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return whole.intdigest(), np.packbits(ones * 2 > len(seen), bitorder="little").view(np.int32)
 
 
 def _bytes(text) -> bytes:
@@ -67,36 +83,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("sig"), text.alias("text"))
 
 
-def _sets(docs: DataFrame, words: int, last: np.ndarray, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, sig, node, n, prefix) for every row: node is a hash of the set of n shingles.
-
-    last is sorted. A task gives the prefix of a set that it meets again as an empty one.
-    """
-    num, den = least
-    lists = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", lists)])
+def _prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, sig, node, segments) for every row: node is a hash of the words in order."""
+    lists = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("node", pa.int64()), ("segments", lists)])
 
     def run(batches):
-        met = set()
         for whole in batches:
             for batch in pieces(whole):
-                nodes, sizes, prefixes = [], [], []
-                for t in batch.column(2):
-                    own = shingles(_bytes(t), words)
-                    node = xxhash.xxh64_intdigest(own.tobytes(), 42)
-                    if node in met or not len(own):
-                        prefixes.append(own[:0])
-                    else:
-                        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
-                        prefixes.append(np.concatenate((own[~late], own[late]))[: len(own) + (-num * len(own) // den) + 1])
-                    if len(met) < MOST_MET:
-                        met.add(node)
-                    nodes.append(node)
-                    sizes.append(len(own))
-                node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes, pa.int32()), pa.array(prefixes, lists)], schema=schema)
-
-    return _rows(docs).mapInArrow(run, "doc_id long, sig long, node long, n int, prefix array<long>")
+                found = [word_print(_bytes(t)) for t in batch.column(2)]
+                node = pa.array(np.array([n for n, _ in found], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([x for _, x in found], lists)], schema=schema)
+
+    return _rows(docs).mapInArrow(run, "doc_id long, sig long, node long, segments array<int>")
 
 
 def _grams(docs: DataFrame, words: int) -> DataFrame:
@@ -112,29 +111,24 @@ def _grams(docs: DataFrame, words: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, "sig long, grams array<long>")
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that several texts of a sample share; which they are decides on speed only."""
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(text_hash(), F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1))))
-    own = _grams(part, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    rows = own.where("n > 4").orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["gram"] for r in rows], np.int64))
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
-    """(u, v, both, nu, nv) with the number of shared shingles of every pair of sets; only the texts of pairs are read."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of some nodes; only their texts are read."""
     few = staged(heads.join(nodes, "node", "left_semi").select("node", F.col("sig").alias("_sig")), "few")
     # Rows that repeat a text give it once.
     own = docs.select("doc_id", "text").withColumn("_s", text_hash()).join(_small(few.select(F.col("_sig").alias("_s"))), "_s", "left_semi").dropDuplicates(["_s"]).drop("_s")
-    own = staged(_grams(own, words).join(few, F.col("sig") == F.col("_sig")).select("node", "grams"), "own")
-    a, b = own.select(F.col("node").alias("u"), F.col("grams").alias("gu")), own.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
-    joined = pairs.join(a, "u").join(b, "v")
-    return joined.select("u", "v", F.size(F.array_intersect("gu", "gv")).alias("both"), F.size("gu").alias("nu"), F.size("gv").alias("nv"))
+    out = staged(_grams(own, words).join(few, F.col("sig") == F.col("_sig")).select("node", "grams"), "sets")
+    release(few)
+    return out
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, both, nu, nv) with the number of shared shingles of every pair of sets."""
+    a, b = sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("gu", "gv")).alias("both"), F.size("gu").alias("nu"), F.size("gv").alias("nv"))
 
 
 def _reaches(both: Column, nu: Column, nv: Column, num: int, den: int) -> Column:
@@ -142,67 +136,87 @@ def _reaches(both: Column, nu: Column, nv: Column, num: int, den: int) -> Column
     return both * (num + den) >= (nu + nv) * num
 
 
-def links(docs: DataFrame, sets: DataFrame, heads: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v) links between sets whose closure is that of all pairs of at least the least similarity."""
+def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, n, own, pos, gram) for the shared shingles in the prefix of each set of n shingles, of which ``own`` are in no other set.
+
+    Shingles are ordered by the number of sets that have them. A set whose own shingles fill its prefix is like no other.
+    """
+    num, den = least
+    each = sets.select("node", F.explode("grams").alias("gram"))
+    common = staged(each.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "common")
+    shared = each.join(common, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("shared"))
+    rows = sets.select("node", F.size("grams").alias("n")).join(shared, "node").withColumn("own", F.col("n") - F.size("shared"))
+    room = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1 - F.col("own")
+    rows = rows.where(room >= 1).select("node", "n", "own", F.posexplode(F.slice("shared", F.lit(1), room.cast("int"))).alias("pos", "x"))
+    return rows.select("node", "n", "own", "pos", F.col("x.gram").alias("gram"))
+
+
+def links(sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(u, v) links between sets (node, grams) whose closure is that of all pairs of at least the least similarity."""
+    num, den = least
+    alike = lambda pairs: _similar(pairs, sets).where(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den)).select("u", "v")
+    members = staged(_prefixes(sets, least), "members")
+    # Written, so that the joins have a shuffle on either side and a frequent shingle's rows can be split.
+    leaders = staged(members.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct("own", "node")).alias("x")).where("k > 1").select("gram", F.col("x.node").alias("lead")), "leaders")
+    led = members.join(leaders, "gram").where("lead <> node").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
+    found = staged(alike(led), "led")
+    labels = members.select("node").distinct().join(components(found).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("label"))
+    told = staged(members.join(staged(labels, "labels"), "node"), "told")
+    # Shingles with sets of one class are done; n is at least low in the rest.
+    open_ = staged(told.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min("n").alias("low")).where("a < z").select("gram", "low"), "open")
+    # A pair shares no more than what either set has in common with any.
+    # Nor, if this shingle is the first that it shares, what comes later in the order.
+    rest = told.join(open_, "gram").withColumn("most", F.col("n") - F.col("own") - F.col("pos")).where(_reaches(F.col("most"), F.col("low"), F.col("n"), num, den))
+    whole = sets.select(F.col("node").alias("_n"), F.when(F.size("grams") <= LONG, F.col("grams")).alias("grams"))
+    rest = rest.join(whole, F.col("node") == F.col("_n")).drop("_n")
+    a, b = rest.alias("a"), rest.alias("b")
+    fits = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") < F.col("b.label")) & _reaches(F.least("a.most", "b.most"), F.col("a.n"), F.col("b.n"), num, den)
+    short = (F.col("a.n") <= LONG) & (F.col("b.n") <= LONG)
+    ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
+    # Short sets are verified inside the join, which gives out links only; of long ones, which don't travel with each shingle, pairs are verified.
+    near = a.join(b, fits & short & _reaches(F.size(F.array_intersect("a.grams", "b.grams")), F.col("a.n"), F.col("b.n"), num, den)).select(*ends)
+    pairs = a.join(b, fits & ~short).select(*ends).distinct()
+    return found.union(staged(near.distinct(), "near")).union(alike(staged(pairs, "long-pairs")))
+
+
+def _found(docs: DataFrame, heads: DataFrame, words: int, least: tuple[int, int], crowd: int) -> DataFrame:
+    """(u, v) links between nodes."""
     num, den = least
-    # One shuffle by shingle: sets that tasks share fall together, then each shingle's sets are counted.
-    each = sets.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram").distinct()
-    counted = each.withColumn("k", F.count("*").over(Window.partitionBy("gram")))
-    members = staged(counted.where("k > 1"), "members")
-    told, out = [], []
-
-    def paired(rows: DataFrame) -> DataFrame:
-        a = rows.select("gram", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"))
-        b = rows.select("gram", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"))
-        most = F.least("pu", "pv") + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
-        return a.join(b, "gram").where("u < v").where(_reaches(most, F.col("nu"), F.col("nv"), num, den)).select("u", "v")
-
-    rest = members.where(F.col("k") > crowd)
-    told.append(paired(members.where(F.col("k") <= crowd)))
-    for _ in range(rounds):
-        if not rest.limit(1).count():
-            break
-        leaders = rest.groupBy("gram").agg(F.min("node").alias("lead"))
-        led = rest.join(leaders, "gram")
-        pairs = staged(led.select(F.col("lead").alias("u"), F.col("node").alias("v")).where("u <> v").distinct(), "led")
-        seen = staged(_similar(pairs, docs, heads, words), "leaders")
-        out.append(seen.where(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den)).select("u", "v"))
-        # Distances to the leader: a link's at most d; a set beyond 2 d has no link to a set within d.
-        like = F.when(F.col("node") == F.col("lead"), 2).when(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den), 2)
-        like = like.when(_reaches(F.col("both"), F.col("nu"), F.col("nv"), 2 * num - den, den), 1).otherwise(0)
-        judged = led.join(seen.select(F.col("u").alias("lead"), F.col("v").alias("node"), "both", "nu", "nv"), ["lead", "node"], "left")
-        judged = staged(judged.select("gram", "node", "n", "pos", like.alias("like")), "judged")
-        a, b = judged.where("like = 2").select("gram", F.col("node").alias("x")), judged.where("like = 1").select("gram", F.col("node").alias("y"))
-        told.append(a.join(b, "gram").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
-        left = judged.where("like < 2").select("gram", "node", "n", "pos")
-        left = staged(left.join(left.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "gram"), "left")
-        told.append(paired(left.where(F.col("k") <= crowd)))
-        rest = left.where(F.col("k") > crowd)
-    told.append(paired(rest))
-    guesses = told[0]
-    for more in told[1:]:
-        guesses = guesses.union(more)
-    found = _similar(staged(guesses.distinct(), "guesses"), docs, heads, words)
-    found = found.where(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den)).select("u", "v")
-    for more in out:
-        found = found.union(more)
+    members = shared_members(variants(spread(heads.select("node", "segments"), 33 * SEGMENTS), F.col("segments"), SEGMENTS).drop("segments"))
+    many = staged(members.where(F.col("n") > crowd).select("node").distinct(), "many")
+    few = members.where(F.col("n") <= crowd).join(_small(many.withColumn("many", F.lit(True))), "node", "left")
+    a, b = few.alias("a"), few.alias("b")
+    opposite = ((F.col("a.side") == -1) & (F.col("b.side") == -1) & (F.col("a.node") < F.col("b.node"))) | ((F.col("a.side") >= 0) & (F.col("a.side") < F.col("b.side")))
+    # Two members of crowded variants are compared by links().
+    fits = (F.col("a.key") == F.col("b.key")) & opposite & (F.col("a.many").isNull() | F.col("b.many").isNull())
+    pairs = a.join(b, fits).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    prints = heads.select("node", "segments")
+    off = F.lit(0)
+    for k in range(SEGMENTS):
+        off = off + F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))  # bit_count widens with the sign
+    pairs = pairs.join(prints.select(F.col("node").alias("u"), F.col("segments").alias("su")), "u").join(prints.select(F.col("node").alias("v"), F.col("segments").alias("sv")), "v").where(off <= FAR)
+    pairs = staged(pairs.select("u", "v"), "pairs")
+    sets = _sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(many).distinct(), docs, heads, words)
+    found = _similar(pairs, sets).where(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den)).select("u", "v")
+    if many.limit(1).count():
+        found = found.union(links(staged(sets.join(many, "node", "left_semi"), "crowd"), least))
     return found
 
 
-def copies(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+def copies(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, crowd: int = CROWD) -> DataFrame:
     """(doc_id, sig) of the rows to drop, so that one is left of each class of near copies: the one with the smallest doc_id.
 
-    Classes are the closure of pairs of at least the least similarity. sig is text_hash(); rows without doc_id come
-    last, ties fall to the smallest sig, and rows that repeat both aren't told apart. Texts without words, null ones
-    included, are copies of each other. An empty table gives an empty result.
+    Classes are the closure of the pairs found of at least the least similarity. sig is text_hash(); rows without doc_id come
+    last, ties fall to the smallest sig, and rows that repeat both aren't told apart. Texts with the same words in order,
+    but for A-Z and white space, are copies; so are all without words, null ones included. A text of fewer words than a
+    shingle is one shingle. Very long texts are taken in blocks. Other columns aren't read. An empty table gives an empty result.
     """
-    last = _frequent(docs, words)
-    sets = staged(_sets(docs, words, last, least), "sets")
+    prints = staged(_prints(docs), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
-    heads = staged(sets.groupBy("node").agg(F.min("sig").alias("sig"), F.min(first).alias("first")), "heads")
-    roots = components(links(docs, sets, heads, words, least, crowd, rounds))
-    classes = heads.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    heads = staged(prints.groupBy("node").agg(F.min("sig").alias("sig"), F.min(first).alias("first"), F.first("segments").alias("segments")), "heads")
+    roots = components(_found(docs, heads, words, least, crowd))
+    classes = staged(heads.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"), "classes")
     kept = classes.groupBy("root").agg(F.min("first").alias("kept"))
-    of = staged(classes.join(kept, "root").select("node", "kept"), "kept")
-    rows = sets.select("node", "doc_id", "sig").distinct().join(of, "node")
+    of = staged(classes.join(staged(kept, "kept"), "root").select("node", "kept"), "of")
+    rows = prints.select("node", "doc_id", "sig").distinct().join(of, "node")
     return rows.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig")))).select("doc_id", "sig")

@@ -14,10 +14,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import release, small_batches, staged
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -68,14 +68,36 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def variants(rows: DataFrame, parts: Column, count: int) -> DataFrame:
+    """rows with key and side for each of ``count`` 32-bit parts (an array): the part as it is (side -1) and with one bit cleared (side: that bit).
+
+    Two parts that differ in one bit share one key, on opposite sides; equal ones share all keys, once at side -1.
+    """
+    each = rows.select("*", parts.alias("_parts"), F.explode(F.sequence(F.lit(0), F.lit(count * 33 - 1))).alias("_c"))
+    each = each.withColumn("_no", F.expr("_c div 33")).withColumn("_i", F.expr("cast(_c % 33 as int) - 1")).withColumn("_part", F.expr("_parts[cast(_no as int)] & 4294967295L"))
+    key = F.expr("shiftleft(_no * 64 + _i + 1, 32) | if(_i < 0, _part, _part & ~shiftleft(1L, _i))")
+    side = F.expr("cast(if(_i < 0, -1L, shiftright(_part, _i) & 1L) as tinyint)")
+    return each.select(key.alias("key"), side.alias("side"), *rows.columns)
+
+
 def _variants(distinct: DataFrame) -> DataFrame:
-    """(key, side, fp): each half as it is (side -1) and with one bit cleared (side: that bit)."""
-    each = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("c"))
-    each = each.select("fp", F.expr("c div 33").alias("half"), F.expr("cast(c % 33 as int) - 1").alias("i"))
-    each = each.withColumn("part", F.expr("if(half = 1, shiftrightunsigned(fp, 32), fp & 4294967295L)"))
-    key = F.expr("shiftleft(half * 64 + i + 1, 32) | if(i < 0, part, part & ~shiftleft(1L, i))")
-    side = F.expr("cast(if(i < 0, -1L, shiftright(part, i) & 1L) as tinyint)")
-    return each.select(key.alias("key"), side.alias("side"), "fp")
+    """(key, side, fp) of both halves of a fingerprint."""
+    return variants(distinct.select("fp"), F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)), 2)
+
+
+def shared_members(keyed: DataFrame) -> DataFrame:
+    """The rows of variants() whose key several rows share, those on one side of a cleared bit not counted, with their number n."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    # Written, so that the join has a shuffle on either side and a frequent variant's rows can be split.
+    shared = staged(shared.where("n > 1 and (lo = -1 or lo < hi)").select("key", "n"), "shared")
+    members = staged(keyed.join(shared, "key"), "variants")
+    release(shared)
+    return members
+
+
+def spread(rows: DataFrame, made: int, most: int = 2_000_000) -> DataFrame:
+    """rows dealt out evenly, so that a task makes at most about ``most`` new ones if each row makes ``made``."""
+    return rows.repartition(max(1, rows.count() * made // most + 1))
 
 
 def _rest_variants(many: DataFrame) -> DataFrame:
@@ -93,11 +115,7 @@ def links(distinct: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """(u, v) links between distinct fingerprints (column fp) that differ in at most two bits; their closure is exact."""
     if bits != 2:
         raise ValueError("two halves with one wildcard serve a distance of 2")
-    keyed = _variants(distinct)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    # Written, so that the join has a shuffle on either side and a frequent variant's rows can be split.
-    shared = staged(shared.where("n > 1 and (lo = -1 or lo < hi)").select("key", "n"), "shared")
-    members = staged(keyed.join(shared, "key"), "variants")
+    members = shared_members(_variants(spread(distinct, 66)))
     few = members.where(F.col("n") <= crowd)
     a, b = few.select("key", F.col("fp").alias("u"), F.col("side").alias("s")), few.select("key", F.col("fp").alias("v"), F.col("side").alias("t"))
     pairs = a.join(b, "key").where("(s = -1 and u < v) or s < t").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits).select("u", "v")
@@ -111,21 +129,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, crowd: int =
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most two bits.
 
     Equal fingerprints fall together before anything is joined. Null and empty texts have fingerprint 0 and link
-    like any other. Rows that repeat a doc_id each get a row; an empty table gives an empty result.
+    like any other; very long ones are hashed in blocks. Rows that repeat a doc_id each get a row. A row without doc_id
+    has a component_id too, that of the documents it links with, which is null if none has a doc_id. Other columns aren't
+    read, whatever their names. An empty table gives an empty result.
     """
     prints = staged(fingerprints(docs, words), "fingerprints")
     heads = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     found = links(heads.select("fp"), bits, crowd)
-    u, v = heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), heads.select(F.col("fp").alias("v"), F.col("head").alias("hv"))
-    edges = found.join(u, "u").join(v, "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    # Two fingerprints may share a head where a doc_id repeats; their loop is dropped by components().
-    roots = components(edges)
-    of = staged(heads.join(roots, F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root", "head").alias("component_id")), "roots")
-    return _by_print(prints, of)
-
-
-def _by_print(prints: DataFrame, of: DataFrame, salts: int = 16) -> DataFrame:
-    """Each document's component; the join is salted, for one fingerprint may hold a third of all documents."""
-    left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    classes = heads.join(components(found), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "head")
+    classes = staged(classes, "classes")
+    least = staged(classes.groupBy("root").agg(F.min("head").alias("component_id")), "least")
+    of = staged(classes.join(least, "root").select("fp", "component_id"), "roots")
+    release(classes, least)
+    # Both sides are written tables, so adaptive execution can split the rows of a fingerprint that a third of all documents share.
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
