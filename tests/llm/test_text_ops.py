@@ -144,7 +144,7 @@ def test_mix_meets_its_targets(spark):
 
 def test_tilts_with_priors(spark):
     """Rates with unequal priors meet the target although some are at their bound."""
-    masses = spark.createDataFrame([("a", 1.0, 100.0), ("a", 4.0, 50.0), ("b", 0.5, 10.0)], "source string, q double, mass double")
+    masses = spark.createDataFrame([("a", 1.0, 1.0, 100.0), ("a", 1.0, 4.0, 50.0), ("b", 1.0, 0.5, 10.0)], "source string, z double, q double, mass double")
     aims = spark.createDataFrame([("a", 330.0), ("b", 0.01)], "source string, target double")
     tilt = {r.source: r.tilt for r in mixing.tilts(masses, aims).collect()}
     import math
@@ -153,6 +153,48 @@ def test_tilts_with_priors(spark):
     assert 10 * 0.5 * math.exp(tilt["b"]) == pytest.approx(0.01)
 
 
+def solved(sizes, priors, target, most=3.0):
+    """Rates by plain bisection of the dual."""
+    import math
+
+    mean = sum(sizes) / len(sizes)
+    rates = lambda t: [min(most, q * math.exp(min(700, t * s / mean))) if s else min(most, q) for s, q in zip(sizes, priors)]
+    low, high = -1000.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(s * r for s, r in zip(sizes, rates(mid))) < target else (low, mid)
+    return rates(low)
+
+
+@pytest.mark.parametrize("prior", [None, "q"])
+def test_rates_solve_the_dual(spark, prior):
+    """Documents of a source are tilted by size, and each rate is that of a brute-force solver."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), " ".join(["w"] * int(rnd.paretovariate(1.3) * 10)), rnd.choice([0.5, 1.0, 2.0, None])) for i in range(400)] + [(900, "c", "", 1.0), (901, "d", "x y", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, q double")
+    out = {r.doc_id: r for r in mixing.mix(docs, prior=prior, bucket=50).collect()}
+    for source in ("a", "b", None, "d"):
+        own = [r for r in rows if r[1] == source]
+        sizes = [len(r[2].split()) for r in own]
+        told = solved(sizes, [(r[3] or 1.0) if prior else 1.0 for r in own], out[own[0][0]].target)
+        assert [out[r[0]].rate for r in own] == pytest.approx(told, rel=1e-6)
+        assert len(own) < 5 or len({round(x, 6) for x in told}) > 5
+        assert sum(s * x for s, x in zip(sizes, told)) == pytest.approx(out[own[0][0]].target, rel=1e-6)
+
+
+def test_mix_of_rows_without_or_with_shared_ids(spark):
+    rows = [(None, "a", "w " * (i % 40), 7) for i in range(500)] + [(1, "b", "w " * (i % 30), 7) for i in range(300)] + [(2, "b", "same words", 7)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, times long")
+    out = mixing.mix(docs, bucket=20).toPandas()
+    assert len(out) == len(rows)
+    count = lambda pairs: sorted(pairs, key=str)
+    assert count((None if i != i else int(i), n) for i, n in zip(out.doc_id, out["size"])) == count((r[0], len(r[2].split())) for r in rows)
+    for ids in (out.doc_id.isna(), ~out.doc_id.isna()):
+        assert abs(out.taken[ids].sum() - out.target[ids].iloc[0]) <= max(0.01 * out.target[ids].iloc[0], 60)
+    assert (out.taken <= 3 * out["size"]).all()
+    assert mixing._repeated(spark.createDataFrame([(1, 25), (2, 0)], "k int, n long"), "n", 10).count() == 25
+
+
 def test_ranked_places(spark):
     names = ["b", "a", None, "é", "Z", "\U00010000", "￿"]
     out = {r.source: r.place for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()}
