@@ -42,7 +42,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     A document word inside any occurrence of a window is hit; share * n_hit >= n_words contaminates if n_hit > 0. Null
     or wordless texts on either side have no windows. Repeated rows each get a row; equal items with different ids
     all count. Empty tables give empty results or zero hits. sig is a hash of the text, which tells apart rows that
-    repeat a doc_id with another text; a row without doc_id is judged like any other.
+    repeat a doc_id with another text; a row without doc_id is judged like any other. A very long text is taken whole, as
+    one array of words. Other columns aren't read, whatever their names.
     """
     each = staged(windows(items, width), "windows")
     text = F.col("text").cast("string")
@@ -57,7 +58,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     # Each document's words are led by an empty one, whose row carries the count of words past the join.
     split = rows.select("doc_id", "_id", "sig", words(F.col("text")).alias("w"))
     placed = split.select("doc_id", "_id", "sig", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
-    met = placed.join(_small(prefix), "word", "left").withColumn("from", F.col("pos") - 1 - F.col("at")).where("pos = 0 or from >= 0 and from + len <= n_words")
+    if prefix.limit(SMALL + 1).count() <= SMALL:
+        met = placed.join(F.broadcast(prefix), "word", "left")
+    else:  # words are shuffled, so the empty ones stay out of it
+        met = placed.where("pos > 0").join(prefix, "word").unionByName(placed.where("pos = 0"), allowMissingColumns=True)
+    met = met.withColumn("from", F.col("pos") - 1 - F.col("at")).where("pos = 0 or from >= 0 and from + len <= n_words")
     met = staged(met.select("doc_id", "_id", "sig", "n_words", "win", "from", "len"), "met")
     guesses = met.where("win is not null").drop("doc_id", "n_words").distinct()
     hits = staged(_verified(rows, guesses, each), "hits")
@@ -72,8 +77,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
 def _verified(rows: DataFrame, guesses: DataFrame, each: DataFrame) -> DataFrame:
     """(_id, sig, n_hit, items) of the guesses whose words are those of the window; _id is a hash of doc_id."""
     keys = ["_id", "sig"]
-    by_row = guesses.groupBy(*keys).agg(F.collect_list(F.struct("win", "from", "len")).alias("guess"))
-    own = rows.join(by_row, keys).dropDuplicates(keys).select(*keys, words(F.col("text")).alias("w"), "guess")
+    by_row = staged(guesses.groupBy(*keys).agg(F.collect_list(F.struct("win", "from", "len")).alias("guess")), "guesses")
+    # Only the texts of documents with a guess are shuffled, where these documents are counted to be few.
+    own = rows.join(_small(by_row.select(*keys)), keys, "left_semi").join(by_row, keys).dropDuplicates(keys).select(*keys, words(F.col("text")).alias("w"), "guess")
     cut = F.transform("guess", lambda g: F.struct(g["win"].alias("win"), g["from"].alias("from"), F.array_join(F.slice("w", g["from"] + 1, g["len"]), " ").alias("said")))
     said = own.select(*keys, F.explode(cut).alias("x")).select(*keys, "x.*")
     known = each.select("win", "item_id", F.size("words").alias("len"), F.array_join("words", " ").alias("said"))
@@ -86,6 +92,6 @@ def _verified(rows: DataFrame, guesses: DataFrame, each: DataFrame) -> DataFrame
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """One row for each document: counts, a digest of the items found and the verdict."""
+    """One row for each document: counts, a digest of the items found and the verdict; odd rows as in contamination()."""
     out = contamination(docs, items, width, share)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
