@@ -44,25 +44,32 @@ class Space:
             self.letters[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.width).astype(np.float32) * 2 - 1
         return self.letters[code]
 
-    def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Different trigrams of a text and their counts; what is no letter is a single gap (code 32)."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        known = self.is_letter[points]
-        if (known == 2).any():
-            for p in np.unique(points[known == 2]).tolist():
-                self.is_letter[p] = chr(p).isalpha()
+    def symbols(self, text: str):
+        """Stretches of a text's letters, with a gap (code 32) before, between and after them; each begins with the last two symbols of the one before."""
+        low, tail = text.lower(), np.array([32], np.int64)
+        for at in range(0, len(low), CHUNK):
+            points = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
             known = self.is_letter[points]
-        known = known.astype(bool)
-        if not known.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keep = known.copy()
-        keep[1:] |= known[:-1]  # the first of a gap stays
-        s = np.where(known, points, 32)[keep].astype(np.int64)
-        gap = np.array([32], np.int64)
-        s = np.concatenate((gap, s, gap[: int(s[-1] != 32)]))
-        grams = np.sort((s[:-2] << 42) | (s[1:-1] << 21) | s[2:])
-        edge = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        return grams[edge], np.diff(np.append(edge, len(grams)))
+            if (known == 2).any():
+                for p in np.unique(points[known == 2]).tolist():
+                    self.is_letter[p] = chr(p).isalpha()
+                known = self.is_letter[points]
+            known = known.astype(bool)
+            keep = known.copy()
+            keep[1:] |= known[:-1]  # the first of a gap stays
+            keep[0] |= tail[-1] != 32
+            s = np.concatenate((tail, np.where(known, points, 32)[keep].astype(np.int64)))
+            yield s
+            tail = s[-2:]
+        if tail[-1] != 32:
+            yield np.append(tail, 32)
+
+    def trigrams(self, text: str):
+        """Different trigrams and their counts, for each stretch of symbols; what is no letter is a single gap."""
+        for s in self.symbols(text):
+            grams = np.sort((s[:-2] << 42) | (s[1:-1] << 21) | s[2:])
+            edge = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+            yield grams[edge], np.diff(np.append(edge, len(grams)))
 
     def _vectors(self, grams: np.ndarray) -> np.ndarray:
         out, one = np.empty((len(grams), self.width), np.float32), (1 << 21) - 1
@@ -91,8 +98,7 @@ class Space:
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The text's vector scaled to length 1; None without a letter."""
         out, any_letter = np.zeros(self.width, np.float64), False
-        for at in range(0, len(text or ""), CHUNK):  # a long text is the sum of its chunks
-            grams, counts = self.trigrams(text[at : at + CHUNK])
+        for grams, counts in self.trigrams(text or ""):  # whole numbers: a long text is just the sum of its stretches
             any_letter |= len(grams) > 0
             for i in range(0, len(grams), 4096):
                 part = self.places(grams[i : i + 4096])
@@ -139,7 +145,9 @@ def prototypes(labelled: DataFrame, width: int = WIDTH, most_labelled: int = MOS
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], width: int = WIDTH, sharp: float = 20.0) -> DataFrame:
     """(doc_id, lang_pred, score) for every row: the score is the best language's share among exp(sharp * cosine).
 
-    A text that is null or has no letter gives und and score 0; so does any text if nothing was learned.
+    A text that is null or has no letter gives und and score 0; so does any text if nothing was learned. Equal cosines fall
+    to the language that comes first by name. Very long texts are taken in parts, repeated rows each get a row, other
+    columns aren't read, whatever their names, and an empty table gives an empty result.
     """
     names = sorted(profiles)
     matrix = np.array([profiles[n] for n in names]) if names else np.zeros((0, width))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import buffers, pieces, small_batches
 
@@ -22,9 +23,9 @@ SLICE = 1 << 20
 PAIRS = 64
 HIDDEN = 32
 GATE = 16
-#: Bound on the labelled documents that are learned from, on average, and on their passages.
+#: Bound on the labelled documents that are learned from, on average, and on the passages taken of each.
 MOST_LABELLED = 6_000
-MOST_PASSAGES = 2_000
+MOST_PASSAGES = 64
 THRESHOLD = 0.7
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\v\f", ".,;:", "!?", "|", "#$%&*@^~", "\"'()-", "/\\_=+<>[]{}`"]
@@ -50,6 +51,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Features of all passages (rows) and the number of passages of each document, which is at least 1.
 
     Documents are cut at multiples of SLICE, and slices are encoded in groups, so that memory doesn't grow with a document.
+    Since words and byte pairs end with their passage, this changes nothing.
     """
     sizes = np.diff(offsets)
     slices = np.maximum(1, -(-sizes // SLICE))
@@ -88,7 +90,7 @@ def _encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[:, _KINDS : _KINDS + PAIRS] = np.bincount(of[1:][inside] * PAIRS + pair[inside], minlength=total * PAIRS).reshape(total, PAIRS) / div
     gap = (data == 32) | (data >= 9) & (data <= 13)
     begins = ~gap
-    begins[1:] &= gap[:-1] | (doc[1:] != doc[:-1])
+    begins[1:] &= gap[:-1] | (of[1:] != of[:-1])
     starts = np.flatnonzero(begins)
     rest = _KINDS + PAIRS
     if len(starts):
@@ -179,17 +181,17 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 30, batc
     return Model(mean, scale, weights)
 
 
-def _features(docs: DataFrame, extra: str) -> DataFrame:
-    """(doc_id, extra, n, x): passages of each document, encoded; for the bounded sample only."""
+def _features(docs: DataFrame, extra: str, most: int) -> DataFrame:
+    """(doc_id, extra, n, x): passages of each document, encoded, at most ``most`` of them, evenly spaced; for the bounded sample only."""
     schema = pa.schema([("doc_id", pa.int64()), (extra, pa.int32()), ("n", pa.int32()), ("x", pa.binary())])
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole):
                 x, bags = encode(*buffers(batch.column(2)))
-                ends = np.cumsum(bags)
-                raw = [x[e - n : e].tobytes() for e, n in zip(ends, bags)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.int32()), pa.array(raw, pa.binary())], schema=schema)
+                taken = [np.arange(n) if n <= most else np.arange(most) * n // most for n in bags]
+                raw = [x[e - n + own].tobytes() for e, n, own in zip(np.cumsum(bags), bags, taken)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(own) for own in taken], pa.int32()), pa.array(raw, pa.binary())], schema=schema)
 
     return small_batches(docs).select("doc_id", extra, "text").mapInArrow(run, f"doc_id long, {extra} int, n int, x binary")
 
@@ -198,28 +200,42 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     """Learn from the labelled documents among docs (doc_id, text); labels: (doc_id, quality).
 
     Beyond most_labelled labels, those whose doc_id has a hash below the bound's share are used, so that the sample has
-    a fixed size whatever the input; documents of more than most_passages passages are not learned from. Null labels
-    count as none; of repeated labels the smallest holds.
+    a fixed size whatever the input; of a document most_passages passages are learned from at most, evenly spaced, so the
+    driver holds some most_labelled * most_passages * WIDTH numbers at most. Null labels count as none; of repeated labels
+    the smallest holds. Null texts are empty; rows that share a doc_id have its label each. Without labels every score is 1.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n = marked.count()
     if n > most_labelled:
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * most_labelled / n))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= most_passages * PASSAGE)
-    rows = _features(own.join(F.broadcast(marked), "doc_id"), "quality").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = _features(own.join(F.broadcast(marked), "doc_id"), "quality", most_passages).toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     return train(x, np.array(rows["n"].to_pylist(), np.int64), np.array(rows["quality"].to_pylist(), np.float64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, sig, score) for every row; a null text is scored as an empty one. sig, a hash of the text, tells apart rows that share a doc_id."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with one more column, the score of each row's text: no key, no join and no shuffle.
+
+    A null text is scored as an empty one, a very long one over all of its passages. Rows that share a doc_id, or have none,
+    are scored by their own texts. docs has no column ``name``; an empty table gives an empty result.
+    """
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole):
-                x, bags = encode(*buffers(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(model.score(x, bags), 0.0, 1.0).astype(np.float64))], names=["doc_id", "sig", "score"])
+                x, bags = encode(*buffers(batch.column(at).cast(pa.string())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(model.score(x, bags), 0.0, 1.0).astype(np.float64))], names=names)
 
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, sig, score) for every row; odd rows as in scored(). sig, a hash of the text, tells apart rows that share a doc_id or have none."""
     text = F.col("text").cast("string")
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text")).mapInArrow(run, "doc_id long, sig long, score double")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    return scored(own, model).select("doc_id", "sig", "score")

@@ -16,7 +16,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.read(media.store(table(spark, sf_dir, "documents"))))
+    return media.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
