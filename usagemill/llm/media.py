@@ -20,7 +20,7 @@ BATCH = 2_000_000
 ROWS = 256
 #: Bytes of text in a slice, and the most slices.
 SLICE = 32 << 20
-SLICES = 8
+SLICES = 6
 STORED = "doc_id long, n_bytes long, media binary"
 READ = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string"
 
@@ -57,7 +57,7 @@ def store(docs: DataFrame, unit: int = 64) -> DataFrame:
 
 
 def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
-    """Decodes the media column: payload, size, a feature of the tensor, and with ``tensors`` the RGB tensor itself (height x width x 3 bytes).
+    """Decodes the media column: payload, size, a feature of the tensor, or with ``tensors`` the RGB tensor itself (height x width x 3 bytes) in its place.
 
     Null media can't be decoded and are an error; an empty table gives an empty result.
     """
@@ -70,8 +70,8 @@ def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
                 for ident, n, media in zip(*(batch.column(k).to_pylist() for k in range(3))):
                     image = jpeg.Image(media)
                     rgb = image.rgb()
-                    row = (ident, n, media, jpeg.payload_of(image), image.height, image.width, feature(rgb))
-                    yield (*row, rgb.tobytes()) if tensors else row
+                    row = (ident, n, media, jpeg.payload_of(image), image.height, image.width)
+                    yield (*row, None, rgb.tobytes()) if tensors else (*row, feature(rgb))
 
         yield from _batched(rows(), schema)
 
@@ -81,7 +81,7 @@ def read(stored: DataFrame, tensors: bool = False) -> DataFrame:
 def feature(rgb) -> str:
     """Size and mean of each channel in hundredths."""
     high, wide, _ = rgb.shape
-    total = rgb.reshape(-1, 3).sum(axis=0, dtype="int64")
+    total = [rgb[..., k].sum(dtype=np.int64) for k in range(3)]
     return f"{wide}x{high}:" + ":".join(str(int(t) * 100 // (high * wide)) for t in total)
 
 
