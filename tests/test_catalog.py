@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__
 from tests.oracle import compare
-from usagemill.plans import catalog
+from usagemill.plans import catalog, source_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -103,16 +103,6 @@ def totals(spark, sf_dir):
     return _money(reports.totals(reports.daily(costed(spark, sf_dir))))
 
 
-@query(f"WITH {o.costed()} SELECT {o.SUMS}, {o.TOTAL}, count(*) AS entries FROM costed WHERE session_id = 's7'")
-def session_by_id(spark, sf_dir):
-    return _money(reports.session_total(costed(spark, sf_dir).where("session_id = 's7'")))
-
-
-@query(f"WITH {o.costed()} SELECT ts_raw, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, coalesce(model, 'unknown') AS model, coalesce(cost_usd, 0) AS cost_usd FROM costed WHERE session_id = 's7'")
-def session_entries(spark, sf_dir):
-    return reports.session_entries(costed(spark, sf_dir).where("session_id = 's7'"))
-
-
 _SESSION = f"""SELECT project_path, session_id, {o.SUMS}, {o.TOTAL}, strftime(arg_max(ts, ts_raw), '%Y-%m-%d') AS last_activity, coalesce(string_agg(DISTINCT version, ',' ORDER BY version), '') AS versions FROM costed GROUP BY ALL"""
 
 
@@ -131,18 +121,6 @@ def today_cost(spark, sf_dir):
     return _money(reports.daily(costed(spark, sf_dir), since="20240130", until="20240130")).drop("date", "total_tokens")
 
 
-@query(f"WITH {o.costed()}, u AS (SELECT *, reset_ts AS r FROM costed) SELECT project, count(*) AS n, min(r) AS first_reset, max(r) AS last_reset FROM u WHERE r IS NOT NULL GROUP BY project")
-def limit_resets(spark, sf_dir):
-    return costed(spark, sf_dir).where("reset_ts is not null").groupBy("project").agg(F.count("*").alias("n"), F.min("reset_ts").alias("first_reset"), F.max("reset_ts").alias("last_reset"))
-
-
-@query(f"WITH {o.costed()} SELECT project, list_aggregate(list_sort(list({o.DAY} || ' ' || cast(input_tokens AS VARCHAR))), 'string_agg', ';') AS rows FROM (SELECT project, ts, input_tokens FROM costed WHERE user_id < 30 AND line_ord % 50 = 0) GROUP BY project")
-def project_map(spark, sf_dir):
-    rows = costed(spark, sf_dir).where("user_id < 30 and line_ord % 50 = 0")
-    told = F.concat(dates.day_key(F.col("ts")), F.lit(" "), F.col("input_tokens").cast("string"))
-    return rows.groupBy("project").agg(F.array_join(F.sort_array(F.collect_list(told)), ";").alias("rows"))
-
-
 @query(f"WITH {o.costed()}, d AS (SELECT coalesce(project, 'unknown') AS project, {o.DAY} AS date, {o.SUMS}, {o.TOTAL} FROM costed GROUP BY ALL) SELECT project, string_agg(concat_ws(' ', date, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens), ';' ORDER BY date) AS rows, round(sum(cost), 6) AS cost FROM d GROUP BY project")
 def project_daily_map(spark, sf_dir):
     rows = costed(spark, sf_dir).withColumn("project", F.coalesce("project", F.lit("unknown")))
@@ -206,10 +184,9 @@ def tiered_cost(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(pricing.tiered(n, base, above), 8).alias("cost"))
 
 
-@query(f"WITH {o.costed('calculate')} SELECT coalesce(speed, 'none') AS speed, count(*) AS n, round(sum(cost), 8) AS cost FROM costed WHERE model IN ('claude-sonnet-4-20250514', 'claude-sonnet-4-20250514-fast', 'claude-opus-4-20250514-fast') GROUP BY 1")
+@query(f"WITH {o.costed('calculate')} SELECT coalesce(speed, 'none') AS speed, count(*) AS n, round(sum(cost), 8) AS cost FROM costed GROUP BY 1")
 def fast_multiplier(spark, sf_dir):
-    rows = costed(spark, sf_dir, "calculate").where(F.col("model").isin("claude-sonnet-4-20250514", "claude-sonnet-4-20250514-fast", "claude-opus-4-20250514-fast"))
-    return _money(rows.groupBy(F.coalesce("speed", F.lit("none")).alias("speed")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost")))
+    return _money(costed(spark, sf_dir, "calculate").groupBy(F.coalesce("speed", F.lit("none")).alias("speed")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost")))
 
 
 @query(f"""WITH {o.DEDUP}, {o.match('SELECT model FROM dedup')} SELECT project, round(sum(CASE WHEN cost_usd > 0.2 THEN cost_usd WHEN cost_usd - 0.2 > 0 THEN 0 ELSE {o.TOKEN_COST} END), 8) AS cost
@@ -404,6 +381,11 @@ def counter_monthly(spark, sf_dir):
     return _counter_shown(reports.counter_monthly(*_counter_events(spark, sf_dir)), "month")
 
 
+@query(_counter_sql("session_id", "session_id"))
+def counter_all_sessions(spark, sf_dir):
+    return _counter_shown(reports.counter_sessions(*_counter_events(spark, sf_dir)), "session_id")
+
+
 @query(_counter_sql("session_id", "session_id", f"{o.DAY} BETWEEN '2024-01-10' AND '2024-01-12'"))
 def counter_sessions(spark, sf_dir):
     return _counter_shown(reports.counter_sessions(*_counter_events(spark, sf_dir), since="20240110", until="20240112"), "session_id")
@@ -436,17 +418,6 @@ def session_tree(spark, sf_dir):
     return _money(out.select("session_id", "title", "parent_id", "total_tokens", "cost", "last_activity", "family_tokens", "family_cost", "family_size"), "cost", "family_cost")
 
 
-@query("""WITH e AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'assistant')
- SELECT e.conv_id, e.turn, e.n::BIGINT AS asked, coalesce((SELECT n FROM a WHERE a.conv_id = e.conv_id AND a.turn = e.turn + 1), 0)::BIGINT AS answered FROM e""")
-def nested_ledger(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    item = F.struct("turn", "role", F.char_length("text").alias("n"))
-    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("messages"))
-    each = docs.select("conv_id", "messages", F.explode(F.filter("messages", lambda m: m["role"] == "user")).alias("e"))
-    hit = F.get(F.filter("messages", lambda m: (m["role"] == "assistant") & (m["turn"] == F.col("e.turn") + 1)), F.lit(0))
-    return each.select("conv_id", F.col("e.turn").alias("turn"), F.col("e.n").cast("long").alias("asked"), F.coalesce(hit["n"], F.lit(0)).cast("long").alias("answered"))
-
-
 _LEDGER = "sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 8) AS cost, round(sum(value), 4) AS credits"
 
 
@@ -482,6 +453,11 @@ def agent_daily(spark, sf_dir):
     return _agent(spark, sf_dir, "date", since="20240120")
 
 
+@query(f"{_AGENT} SELECT {o.DAY} AS date, {o.SUMS}, string_agg(DISTINCT model, ',' ORDER BY model) AS models_used FROM a GROUP BY 1")
+def agent_all_days(spark, sf_dir):
+    return _agent(spark, sf_dir, "date")
+
+
 @query(f"{_AGENT} SELECT {o.MONTH} AS month, {o.SUMS}, string_agg(DISTINCT model, ',' ORDER BY model) AS models_used FROM a GROUP BY 1")
 def agent_monthly(spark, sf_dir):
     return _agent(spark, sf_dir, "month")
@@ -495,12 +471,6 @@ def agent_sessions(spark, sf_dir):
 # ---------------------------------------------------------------- functions
 
 
-@query("SELECT conv_id, arg_max(length(text), turn)::BIGINT AS context_tokens FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
-def context_tokens(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
-    return rows.groupBy("conv_id").agg(F.max_by(F.char_length("text"), F.col("turn")).cast("long").alias("context_tokens"))
-
-
 @query("""WITH m AS (SELECT DISTINCT 'claude-' || lower(c_mktsegment) || CASE c_custkey % 4 WHEN 0 THEN '-4-20250514' WHEN 1 THEN '-4-5-20250929' WHEN 2 THEN '-4-5' ELSE '' END AS raw FROM customer UNION SELECT DISTINCT 'anthropic/claude-opus-' || (c_nationkey % 9) || '.5' FROM customer UNION SELECT DISTINCT '[pi] claude-sonnet-' || (c_nationkey % 9) FROM customer)
  SELECT raw, CASE WHEN regexp_matches(raw, '^\\[pi\\] .') THEN '[pi] ' ELSE '' END || regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\\[pi\\] ', ''), '^anthropic/claude-(\\w+)-([\\d.]+)$', '\\1-\\2'), '^claude-(\\w+)-([\\d-]+)-(\\d{8})$', '\\1-\\2'), '^claude-(\\w+)-([\\d-]+)$', '\\1-\\2') AS short FROM m""")
 def model_short_name(spark, sf_dir):
@@ -551,12 +521,6 @@ def status_line(spark, sf_dir):
 # ---------------------------------------------------------------- order, filters and output
 
 
-@query(f"WITH {o.USAGE} SELECT file_path, min(ts) AS file_ts, row_number() OVER (ORDER BY min(ts) NULLS LAST, file_path) AS place FROM usage GROUP BY file_path")
-def file_order(spark, sf_dir):
-    files = samples.usage(spark, sf_dir).groupBy("file_path").agg(F.min("ts").alias("file_ts"))
-    return files.select("file_path", "file_ts", F.row_number().over(Window.orderBy(F.col("file_ts").asc_nulls_last(), "file_path")).cast("long").alias("place"))
-
-
 @query(f"WITH {o.costed()} SELECT coalesce(model, 'none') AS model, count(*) AS n FROM costed GROUP BY 1")
 def display_models(spark, sf_dir):
     return costed(spark, sf_dir).groupBy(F.coalesce("model", F.lit("none")).alias("model")).agg(F.count("*").alias("n"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import paths
 from . import variants as v
 
+#: The log format's times, versions and limit message.
 STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
 VERSION = r"^\d+\.\d+\.\d+"
 LIMIT_MARK = "Claude AI usage limit reached"
@@ -56,13 +59,13 @@ def file_times(raw: DataFrame) -> DataFrame:
     return raw.groupBy("file_path").agg(F.min(seen).alias("file_ts"))
 
 
-def read(spark: SparkSession, roots: list[str], project: str | None = None, session_from: str = "dir") -> DataFrame:
+def read(spark: SparkSession, roots: list[str], project: str | None = None, session_from: str = "dir", pattern: str = "*.jsonl") -> DataFrame:
     """The canonical usage frame, before dedupe. A project restricts the files that are read.
 
     session_from: dir takes the name of the file's folder as the session, stem the file's own name. Times that pass the pattern
     but aren't real stay, with a null ts: they take part in dedupe and are dropped after it.
     """
-    raw = lines(spark, [f"{r.rstrip('/')}/projects" for r in roots]).where(F.trim("value") != "")
+    raw = lines(spark, [f"{r.rstrip('/')}/projects" for r in roots], pattern).where(F.trim("value") != "")
     raw = raw.withColumn("project", paths.segment_after(F.col("file_path"), "projects"))
     if project is not None:
         raw = raw.where(F.col("project") == project)
@@ -92,9 +95,11 @@ def deduped(usage: DataFrame) -> DataFrame:
 
 
 def session_by_id(spark: SparkSession, roots: list[str], session: str) -> DataFrame:
-    """Usage rows of the first file named <session>.jsonl, without dedupe."""
-    usage = read(spark, roots).where(paths.stem(F.col("file_path")) == session)
-    first = usage.agg(F.min("file_path").alias("_first"))  # one row
+    """Usage rows of the first file named <session>.jsonl, without dedupe; files of other names aren't read."""
+    pattern = re.sub(r"([*?\[\]{}\\])", r"\\\1", session) + ".jsonl"
+    usage = read(spark, roots, pattern=pattern)
+    files = lines(spark, [f"{r.rstrip('/')}/projects" for r in roots], pattern)
+    first = files.agg(F.min("file_path").alias("_first"))  # one row
     return usage.join(F.broadcast(first), F.col("file_path") == F.col("_first"), "left_semi").select(*COLUMNS)
 
 
