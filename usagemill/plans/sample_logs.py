@@ -87,18 +87,21 @@ def transcript(spark: SparkSession, sf_dir: str) -> str:
     return written(rows.select(F.lit("chat").alias("folder"), F.lit("all").alias("stem"), F.struct("conv_id", "turn").alias("ord"), line.alias("value"))) + "/chat/all.jsonl"
 
 
-def store_documents(spark: SparkSession, sf_dir: str) -> str:
-    """A message for each customer of the first nations and a session for each nation, one JSON document for each file."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
+def store_messages(spark: SparkSession, sf_dir: str) -> str:
+    """A message for each supplier, one JSON document for each file message/<session>/msg_<number>.json."""
+    c = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
     tokens = F.struct((k % 3 * 10).alias("input"), (k % 3 * 7).alias("output"), F.struct((k % 5).alias("read"), F.when(k % 2 == 0, k % 7).alias("write")).alias("cache"))
     found = F.struct(_text("m", F.floor(k / 2)).alias("id"), F.when(k % 11 != 0, _text("s", n)).alias("sessionID"), F.lit("maker").alias("providerID"), F.when(k % 13 != 0, _text("model-", n % 4)).alias("modelID"), F.struct((k * 1000).alias("created")).alias("time"), tokens.alias("tokens"), (k / 8).alias("cost"))
-    messages = c.select(F.concat(F.lit("message/"), _text("s", n)).alias("folder"), F.concat(F.lit("msg_"), F.lpad(k.cast("string"), 9, "0")).alias("stem"), k.alias("ord"), F.to_json(found).alias("value"))
+    return written(c.select(F.concat(F.lit("message/"), _text("s", n)).alias("folder"), F.concat(F.lit("msg_"), F.lpad(k.cast("string"), 9, "0")).alias("stem"), k.alias("ord"), F.to_json(found).alias("value")), ".json")
+
+
+def store_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """A session for each nation, one JSON document for each file session/<project>/<session>.json."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     n = F.col("n_nationkey")
     session = F.struct(_text("s", n).alias("id"), F.when(n % 5 != 0, _text("s", n - n % 5)).alias("parentID"), F.when(n % 7 != 0, F.col("n_name")).alias("title"), _text("p", F.col("n_regionkey")).alias("projectID"))
-    sessions = nations.select(F.concat(F.lit("session/"), _text("p", F.col("n_regionkey"))).alias("folder"), _text("s", n).alias("stem"), n.cast("long").alias("ord"), F.to_json(session).alias("value"))
-    return written(messages.unionByName(sessions), ".json")
+    return written(nations.select(F.concat(F.lit("session/"), _text("p", F.col("n_regionkey"))).alias("folder"), _text("s", n).alias("stem"), n.alias("ord"), F.to_json(session).alias("value")), ".json")
 
 
 def thread_documents(spark: SparkSession, sf_dir: str) -> str:

@@ -75,17 +75,17 @@ def counter_log(spark, sf_dir):
     return other_logs.counter_events(spark, [f"{root}/counters"]).select("session_id", "ts_raw", "model", "is_fallback", *counters.FIELDS[:4])
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), m AS (SELECT *, row_number() OVER (PARTITION BY k // 2 ORDER BY 's' || n, k) AS place FROM c WHERE k % 3 <> 0 AND k % 13 <> 0)
+@query("""WITH c AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), m AS (SELECT *, row_number() OVER (PARTITION BY k // 2 ORDER BY 's' || n, k) AS place FROM c WHERE k % 3 <> 0 AND k % 13 <> 0)
  SELECT 'm' || (k // 2) AS message_id, make_timestamp(k * 1000000) AS ts, CASE WHEN k % 11 <> 0 THEN 's' || n ELSE 'unknown' END AS session_id, 'model-' || (n % 4) AS model, (k % 3 * 10)::BIGINT AS input_tokens, (k % 3 * 7)::BIGINT AS output_tokens,
  (CASE WHEN k % 2 = 0 THEN k % 7 ELSE 0 END)::BIGINT AS cache_creation_tokens, (k % 5)::BIGINT AS cache_read_tokens, k / 8 AS cost_usd FROM m WHERE place = 1""")
 def store_log(spark, sf_dir):
-    found = other_logs.store_messages(spark, sample_logs.store_documents(spark, sf_dir) + "/message", samples.NOW)
+    found = other_logs.store_messages(spark, sample_logs.store_messages(spark, sf_dir) + "/message", samples.NOW)
     return found.drop("provider", "file_path", "line_ord")
 
 
 @query("SELECT 's' || n_nationkey AS session_id, CASE WHEN n_nationkey % 5 <> 0 THEN 's' || (n_nationkey - n_nationkey % 5) END AS parent_id, CASE WHEN n_nationkey % 7 <> 0 THEN n_name ELSE 's' || n_nationkey END AS title, 'p' || n_regionkey AS project, 'unknown' AS directory FROM nation")
 def store_session_log(spark, sf_dir):
-    return other_logs.store_sessions(spark, sample_logs.store_documents(spark, sf_dir) + "/session")
+    return other_logs.store_sessions(spark, sample_logs.store_sessions(spark, sf_dir) + "/session")
 
 
 @query("""WITH e AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'assistant')
