@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import subprocess
 from datetime import datetime
 
@@ -40,23 +41,32 @@ def plain(value, names: dict | None = None):
     return value
 
 
+def _totals(rows: list, names: dict) -> dict:
+    """reports.totals() of collected rows, so that the report's plan runs once."""
+    whole = {c: sum(r[c] or 0 for r in rows) for c in (*reports.TOKENS, "total_tokens")}
+    whole["cost"] = math.fsum(r["cost"] or 0.0 for r in rows)
+    return {names.get(k, camel(k)): plain(x) for k, x in whole.items()}
+
+
 def report_json(report: DataFrame, name: str, empty_totals: str = "zeros", names: dict = REPORT) -> dict | list:
     """{name: rows, totals}. An empty report is [] (list), has zero totals (zeros) or null totals (null)."""
-    rows = [plain(r, names) for r in report.collect()]
+    found = report.collect()
+    rows = [plain(r, names) for r in found]
     if not rows and empty_totals == "list":
         return []
     if not rows and empty_totals == "null":
         return {name: [], "totals": None}
-    return {name: rows, "totals": plain(reports.totals(report).first(), names)}
+    return {name: rows, "totals": _totals(found, names)}
 
 
 def by_project_json(report: DataFrame, name: str = "projects") -> dict:
     """{name: {project: rows}, totals}; rows keep the report's order within a project."""
     out: dict = {}
-    for r in report.collect():
+    found = report.collect()
+    for r in found:
         row = plain(r, REPORT)
         out.setdefault(row.pop("project") or "unknown", []).append(row)
-    return {name: out, "totals": plain(reports.totals(report).first(), REPORT)}
+    return {name: out, "totals": _totals(found, REPORT)}
 
 
 def session_json(session_id: str, entries: list, total) -> dict | None:
