@@ -92,6 +92,17 @@ def closure(nodes, pairs):
     return out
 
 
+def test_filter_of_shared_variants_changes_no_link(spark, monkeypatch):
+    rnd = random.Random(5)
+    seeds = [rnd.getrandbits(64) - 2**63 for _ in range(40)]
+    values = sorted({*seeds, *(v ^ 1 << rnd.randrange(63) for v in seeds for _ in range(3))})
+    rows = spark.createDataFrame([(v,) for v in values], "fp long")
+    true = {(u, v) for u in values for v in values if u < v and ((u ^ v) % 2**64).bit_count() <= 2}
+    for size in (1, simhash.FILTER):
+        monkeypatch.setattr(simhash, "FILTER", size)
+        assert {tuple(sorted(r)) for r in simhash.links(rows).collect()} == true
+
+
 def test_components_of_a_chain_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}

@@ -24,6 +24,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: A variant shared by more fingerprints than this gives stars instead of pairs.
 CROWD = 32
+#: Rows, of 64 bits each, that the broadcast filter of shared keys has at most, whatever the number of keys.
+FILTER = 1 << 20
 
 
 def _blocks(text: bytes, size: int = 1 << 20):
@@ -90,11 +92,24 @@ def shared_members(keyed: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     # Written, so that the join has a shuffle on either side and a frequent variant's rows can be split.
     shared = staged(shared.where("n > 1 and (lo = -1 or lo < hi)").select("key", "n"), "shared")
-    members = staged(keyed.join(shared, "key"), "variants")
+    members = staged(_likely(keyed, shared).join(shared, "key"), "variants")
     release(shared)
     return members
 
 
+def _likely(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is in shared, and by chance some others, so that few rows are shuffled for the join on key.
+
+    Keys are hashed to the bits of at most FILTER rows, which are broadcast. Very many keys set most bits: more rows are
+    shuffled then, and the join gives the same.
+    """
+    at = F.pmod(F.xxhash64("key"), F.lit(64 * FILTER))
+    word, bit = F.shiftright(at, 6), F.expr("shiftleft(1L, cast(_at & 63 as int))")
+    bits = shared.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    near = keyed.withColumn("_at", at).withColumn("_bit", bit).join(F.broadcast(bits), word == F.col("_w"))
+    return near.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*keyed.columns)
+
+
 def spread(rows: DataFrame, made: int, most: int = 2_000_000) -> DataFrame:
     """rows dealt out evenly, so that a task makes at most about ``most`` new ones if each row makes ``made``."""
     return rows.repartition(max(1, rows.count() * made // most + 1))
