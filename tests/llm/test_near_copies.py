@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from usagemill.llm import near_copies
+from usagemill.llm import components, near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +115,47 @@ def test_rows_that_share_an_id_or_have_none(spark):
     out = cp.drop_near_copies(spark, frame(spark, rows), SF).collect()
     assert sorted(r.text for r in out) == sorted({t for _, t, _ in rows})
     assert cp.drop_near_copies(spark, frame(spark, rows).limit(0), SF).count() == 0
+
+
+def test_tables_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Near copies that have each changed another bit of their fingerprint: no table has more rows a copy if the group is larger."""
+    words = [f"w{i}" for i in range(30)]
+    made = {}
+    for module in (near_copies, simhash, components):
+        monkeypatch.setattr(module, "staged", lambda df, name, real=module.staged: [out := real(df, name), made.__setitem__(name, max(made.get(name, 0), out.count()))][0])
+    counts = []
+    for n in (48, 192):
+        docs = frame(spark, [(i, " ".join([*words, f"end{i}"]), "s") for i in range(n)]).cache()
+        # Segment i % 8 has bit i // 8 set.
+        bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.pmod("doc_id", F.lit(8)) == k, F.expr("shiftleft(1, cast(doc_id div 8 as int))")).otherwise(0))
+        monkeypatch.setattr(near_copies, "_prints", lambda docs, bits=bits: docs.select("doc_id", near_copies.text_hash().alias("sig"), F.col("doc_id").alias("node"), bits.alias("segments")))
+        made.clear()
+        dropped = {r.doc_id for r in near_copies.copies(docs).collect()}
+        assert dropped == set(range(1, n))
+        counts.append(dict(made))
+    assert {k: v for k, v in counts[1].items() if v > 6 * max(counts[0].get(k, 0), 32)} == {}
+
+
+@pytest.mark.parametrize("crowd", [8, 2])
+def test_candidates_against_all_pairs(spark, crowd):
+    rnd = random.Random(9)
+    heads = []
+    for _ in range(40):
+        base = [rnd.choice([0, -1, -(2**31), *[rnd.randint(-(2**31), 2**31 - 1)] * 90]) for _ in range(8)]
+        for _ in range(rnd.randint(1, 12)):
+            heads.append((len(heads), [x ^ rnd.choice([0, 1, -(2**31), 1 << rnd.randint(0, 30), 3, 7 << rnd.randint(0, 28)]) for x in base]))
+    prints = [[x % 2**32 for x in s] for _, s in heads]
+    at = {}
+    for i, s in enumerate(prints):
+        for k, x in enumerate(s):
+            at.setdefault((k, x), []).append(i)
+    # The nodes of each segment, and of each two segments that differ in one bit.
+    groups = [(own, own) for own in at.values() if len(own) > 1]
+    groups += [(at[k, x], at[k, x | 1 << b]) for k, x in at for b in range(32) if not x >> b & 1 and (k, x | 1 << b) in at]
+    size = lambda a, b: len(a) if a is b else len(a) + len(b)
+    many = {i for a, b in groups if size(a, b) > crowd for i in [*a, *b]}
+    pairs = {(min(i, j), max(i, j)) for a, b in groups if size(a, b) <= crowd for i in a for j in b if i != j and not (i in many and j in many)}
+    pairs = {(i, j) for i, j in pairs if sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j])) <= near_copies.FAR}
+    found, crowded = near_copies._candidates(spark.createDataFrame(heads, "node long, segments array<int>"), crowd)
+    assert sorted((r.u, r.v) for r in found.collect()) == sorted(pairs) and pairs
+    assert sorted(r.node for r in crowded.collect()) == sorted(many) and many

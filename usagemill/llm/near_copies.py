@@ -3,12 +3,13 @@
 Pairs of that similarity differ in about ten of 64 bits of a fingerprint over shingles, which no affordable set of
 deletion variants reaches, since one changed word changes five shingles. Fingerprints are therefore taken over the
 different words of a text, have 256 bits, and are cut into eight segments; a pair is a candidate if some segment
-differs in at most one bit, that is, shares the segment or one of its one-wildcard variants. Candidates are joined by
-equality, dropped beyond FAR differing bits, and verified on their whole sets of shingles. This step is a search: what share
-of the similar pairs it finds is measured (README), not proven.
+differs in at most one bit. Each different segment is looked up with every one of its set bits cleared, once however
+many texts have it, and only then do pairs of segments become pairs of texts. Candidates are dropped beyond FAR
+differing bits, and verified on their whole sets of shingles. This step is a search: what share of the similar pairs it
+finds is measured (README), not proven.
 
-The members of a variant that many fingerprints share aren't paired up. They are compared with each other by an exact
-join instead: two sets of similarity 0.8 share a shingle within their prefixes, the first n - ceil(0.8 n) + 1 shingles in an
+The members of a segment that many fingerprints share, or have but for one bit, aren't paired up. They are compared with
+each other by an exact join instead: two sets of similarity 0.8 share a shingle within their prefixes, the first n - ceil(0.8 n) + 1 shingles in an
 order that puts rare ones first. A shingle's sets are first compared with one leader, the set with the fewest
 shingles of its own. Since only classes are asked for, just sets of different classes are paired after that, if their
 sizes, less the shingles that no other set has, let them reach the threshold.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, release, small_batches, staged, text_hash
 from .components import components
-from .simhash import _LOWER, _blocks, shared_members, spread, variants
+from .simhash import _LOWER, _blocks, spread
 
 WORDS = 5
 #: The least similarity is LEAST[0] / LEAST[1].
@@ -32,7 +33,7 @@ LEAST = (4, 5)
 #: Segments of a fingerprint, of 32 bits each, and the differing bits beyond which a candidate isn't verified.
 SEGMENTS = 8
 FAR = 48
-#: The members of a variant shared by more fingerprints aren't paired up.
+#: The members of a segment, or of two that differ in one bit, aren't paired up if there are more.
 CROWD = 8
 #: Shingles up to which a set travels whole with each of its shingles.
 LONG = 2_000
@@ -179,23 +180,42 @@ def links(sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return found.union(staged(near.distinct(), "near")).union(alike(staged(pairs, "long-pairs")))
 
 
-def _found(docs: DataFrame, heads: DataFrame, words: int, least: tuple[int, int], crowd: int) -> DataFrame:
-    """(u, v) links between nodes."""
-    num, den = least
-    members = shared_members(variants(spread(heads.select("node", "segments"), 33 * SEGMENTS), F.col("segments"), SEGMENTS).drop("segments"))
-    many = staged(members.where(F.col("n") > crowd).select("node").distinct(), "many")
-    few = members.where(F.col("n") <= crowd).join(_small(many.withColumn("many", F.lit(True))), "node", "left")
-    a, b = few.alias("a"), few.alias("b")
-    opposite = ((F.col("a.side") == -1) & (F.col("b.side") == -1) & (F.col("a.node") < F.col("b.node"))) | ((F.col("a.side") >= 0) & (F.col("a.side") < F.col("b.side")))
-    # Two members of crowded variants are compared by links().
-    fits = (F.col("a.key") == F.col("b.key")) & opposite & (F.col("a.many").isNull() | F.col("b.many").isNull())
-    pairs = a.join(b, fits).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+def _candidates(heads: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of nodes with a segment that differs in at most one bit, and (node) of those with one that over ``crowd`` nodes share or have beside a bit.
+
+    Two of the latter aren't paired. Segments are looked up as different values, each once however many nodes have it: a value
+    has at most 32 others one bit away, while nodes would come once more for each bit that some node of their group has changed.
+    """
+    value = F.expr("shiftleft(cast(_no as bigint), 32) | (_part & 4294967295L)")
+    segments = heads.select("node", F.posexplode("segments").alias("_no", "_part")).select("node", value.alias("value"))
+    values = staged(segments.groupBy("value").agg(F.count("*").alias("n")), "values")
+    ones = spread(values, 32).select("value", F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i"))
+    ones = ones.where("(shiftright(value, _i) & 1) = 1").select(F.expr("value ^ shiftleft(1L, _i)").alias("low"), "_i", "m")
+    beside = ones.join(values, ones["low"] == values["value"]).select("low", F.expr("low | shiftleft(1L, _i)").alias("high"), F.expr("m + n").alias("n"))
+    groups = staged(beside.union(values.where("n > 1").select("value", "value", "n")), "groups")
+    ends = lambda some: staged(some.select(F.explode(F.array("low", "high")).alias("value")).distinct(), "ends")
+    crowded, few = ends(groups.where(F.col("n") > crowd)), groups.where(F.col("n") <= crowd).select("low", "high")
+    many = staged(segments.join(_small(crowded), "value", "left_semi").select("node").distinct(), "many")
+    paired = ends(few)
+    held = segments.join(_small(paired), "value", "left_semi").join(_small(many.withColumn("many", F.lit(True))), "node", "left")
+    held = staged(held.select("node", "value", F.coalesce("many", F.lit(False)).alias("many")), "held")
+    a, b = held.select(F.col("value").alias("low"), F.col("node").alias("a"), F.col("many").alias("am")), held.select(F.col("value").alias("high"), F.col("node").alias("b"), F.col("many").alias("bm"))
+    # Two members of crowded groups are compared by links().
+    pairs = few.join(a, "low").join(b, "high").where("(low < high or a < b) and not (am and bm)").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     prints = heads.select("node", "segments")
     off = F.lit(0)
     for k in range(SEGMENTS):
         off = off + F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))  # bit_count widens with the sign
     pairs = pairs.join(prints.select(F.col("node").alias("u"), F.col("segments").alias("su")), "u").join(prints.select(F.col("node").alias("v"), F.col("segments").alias("sv")), "v").where(off <= FAR)
     pairs = staged(pairs.select("u", "v"), "pairs")
+    release(values, groups, crowded, paired, held)
+    return pairs, many
+
+
+def _found(docs: DataFrame, heads: DataFrame, words: int, least: tuple[int, int], crowd: int) -> DataFrame:
+    """(u, v) links between nodes."""
+    num, den = least
+    pairs, many = _candidates(heads, crowd)
     sets = _sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(many).distinct(), docs, heads, words)
     found = _similar(pairs, sets).where(_reaches(F.col("both"), F.col("nu"), F.col("nv"), num, den)).select("u", "v")
     if many.limit(1).count():
