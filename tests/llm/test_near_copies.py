@@ -159,3 +159,12 @@ def test_candidates_against_all_pairs(spark, crowd):
     found, crowded = near_copies._candidates(spark.createDataFrame(heads, "node long, segments array<int>"), crowd)
     assert sorted((r.u, r.v) for r in found.collect()) == sorted(pairs) and pairs
     assert sorted(r.node for r in crowded.collect()) == sorted(many) and many
+
+
+def test_forks_bring_other_classes_together_once(spark):
+    """Sets of one class don't meet over a shingle; two of different classes meet once."""
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice([-7, 3, *range(100, 100 + g)]) if g else 5, 1000 * g + i, 1, 1) for g in range(8) for i in range(30)]
+    out = near_copies._forks(spark.createDataFrame(rows, "gram long, label long, node long, n int, most int")).collect()
+    met = sorted((min(a.node, b.node), max(a.node, b.node)) for a in out for b in out if a.side < b.side and (a.gram, a.bit, a.above) == (b.gram, b.bit, b.above))
+    assert met == sorted((u, v) for g, k, u, _, _ in rows for h, m, v, _, _ in rows if g == h and k != m and u < v) and met

@@ -11,8 +11,8 @@ finds is measured (README), not proven.
 The members of a segment that many fingerprints share, or have but for one bit, aren't paired up. They are compared with
 each other by an exact join instead: two sets of similarity 0.8 share a shingle within their prefixes, the first n - ceil(0.8 n) + 1 shingles in an
 order that puts rare ones first. A shingle's sets are first compared with one leader, the set with the fewest
-shingles of its own. Since only classes are asked for, just sets of different classes are paired after that, if their
-sizes, less the shingles that no other set has, let them reach the threshold.
+shingles of its own. Since only classes are asked for, just sets of different classes meet after that, and are
+compared if their sizes, less the shingles that no other set has, let them reach the threshold.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, release, small_batches, staged, text_hash
@@ -152,6 +152,19 @@ def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     return rows.select("node", "n", "own", "pos", F.col("x.gram").alias("gram"))
 
 
+def _forks(rows: DataFrame) -> DataFrame:
+    """rows (gram, label, node, n, most) of shingles with several labels, with bit, above and side instead of the label.
+
+    Two rows of a shingle with different labels agree in bit and above, on opposite sides, once: at the highest bit in which
+    the labels' numbers differ. Rows of one label never do, so that a large class isn't compared with itself.
+    """
+    each = Window.partitionBy("gram")
+    numbers = rows.select("gram", "label").distinct().select("gram", "label", (F.row_number().over(each.orderBy("label")) - 1).alias("no"), F.count("*").over(each).alias("labels"))
+    numbers = staged(numbers.where("labels > 1"), "numbers")
+    bits = rows.join(numbers, ["gram", "label"]).select("gram", "node", "n", "most", "no", F.explode(F.expr("sequence(0, char_length(bin(labels - 1)) - 1)")).alias("bit"))
+    return bits.select("gram", "bit", F.expr("shiftright(no, bit + 1)").alias("above"), F.expr("shiftright(no, bit) & 1").alias("side"), "node", "n", "most")
+
+
 def links(sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """(u, v) links between sets (node, grams) whose closure is that of all pairs of at least the least similarity."""
     num, den = least
@@ -168,10 +181,12 @@ def links(sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     # A pair shares no more than what either set has in common with any.
     # Nor, if this shingle is the first that it shares, what comes later in the order.
     rest = told.join(open_, "gram").withColumn("most", F.col("n") - F.col("own") - F.col("pos")).where(_reaches(F.col("most"), F.col("low"), F.col("n"), num, den))
+    rest = _forks(staged(rest.select("gram", "label", "node", "n", "most"), "rest"))
     whole = sets.select(F.col("node").alias("_n"), F.when(F.size("grams") <= LONG, F.col("grams")).alias("grams"))
     rest = rest.join(whole, F.col("node") == F.col("_n")).drop("_n")
-    a, b = rest.alias("a"), rest.alias("b")
-    fits = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") < F.col("b.label")) & _reaches(F.least("a.most", "b.most"), F.col("a.n"), F.col("b.n"), num, den)
+    a, b = rest.where("side = 0").alias("a"), rest.where("side = 1").alias("b")
+    same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.bit") == F.col("b.bit")) & (F.col("a.above") == F.col("b.above"))
+    fits = same & _reaches(F.least("a.most", "b.most"), F.col("a.n"), F.col("b.n"), num, den)
     short = (F.col("a.n") <= LONG) & (F.col("b.n") <= LONG)
     ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
     # Short sets are verified inside the join, which gives out links only; of long ones, which don't travel with each shingle, pairs are verified.
